@@ -29,6 +29,7 @@ null); an empty table gives no rows; extra columns are not read. ``docs`` is sca
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,20 +153,27 @@ class Band:
     deletions: bool
 
 
-def bands(counts: dict[int, int], common_share: float) -> dict[int, Band]:
-    """The cheaper allocation of each size band; ``counts``: classes by band, ``common_share``: share of the documents that hold a common shingle."""
+def bands(counts: dict[int, tuple[int, int]], heavy: int, common_share: float) -> dict[int, Band]:
+    """The cheaper allocation of each size band. ``counts``: classes and shingles by band; ``heavy``: shingle occurrences in heavy
+    places of the sketch; ``common_share``: share of the classes that hold a common shingle.
+
+    A segment has about ``members`` shingles; one of common shingles only has false partners, unless it is skipped."""
     out = {}
-    for k, n in counts.items():
+    classes, shingles = (sum(x) for x in zip(*counts.values())) if counts else (0, 0)
+    for k, (n, size) in counts.items():
         top = (1 << (k + 1)) - 1
-        typical = 1.5 * (1 << k)
-        need = bound(top) + 1
-        exact, few = top // 2 + 2, max(1, -(-need // 2))
-
-        def cost(signatures: float, members: float, n: int = n) -> float:
-            return signatures * (1 + 4 * n * common_share ** max(1.0, members))
-
-        by_exact = cost(bound(int(typical)) + 1, typical / exact)
-        by_deletion = cost(few + typical, typical / few - 1)
+        typical = size / n
+        # passages are as long in short sets as in long ones
+        rare = 1 - min(0.9, heavy / max(1, shingles) * shingles / classes / typical)
+        exact, few = top // 2 + 2, max(1, -(-(bound(top) + 1) // 2))
+        need = bound(int(typical)) + 1
+        crowd = 4 * n * common_share
+
+        def alone(members: float, rare: float = rare) -> float:
+            return math.exp(-rare * max(0.0, members))
+
+        by_exact = need + crowd * max(0.0, exact * alone(typical / exact) - (exact - need))
+        by_deletion = few + typical + crowd * (few * alone(typical / few) + typical * alone(typical / few - 1))
         out[k] = Band(few, True) if by_deletion < by_exact else Band(exact, False)
     return out
 
@@ -219,7 +227,7 @@ def _profile(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Record
             c2.append(b)
             bins.append(np.minimum(np.bincount((s & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) else None)
             places.append(s >> _U(64 - SKETCH_BITS))
-            if sum(map(len, places[-1:])) > 0 and len(places) >= 512:
+            if len(places) >= 512:
                 counts += np.bincount(np.concatenate(places).astype(np.int64), minlength=len(counts))
                 places = []
         if places:
@@ -407,10 +415,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = made.where("n = -1").groupBy("c").agg(F.sum("c2").alias("k")).orderBy(F.desc("k"), "c").limit(HEAVY).toArrow()
     heavy = np.zeros(1 << SKETCH_BITS, np.int64)
     heavy[sketch.column(0).to_numpy()] = sketch.column(1).to_numpy()
-    counts = {r["k"]: r["count"] for r in classes.where("n >= 4").groupBy((F.length(F.bin("n")) - 1).alias("k")).count().collect()}
-    total = sum(counts.values())
-    top = np.sort(heavy)[-100:].mean() if total else 0.0
-    plan = bands(counts, float(min(1.0, top / max(1, total))))
+    sizes = classes.where("n >= 4").groupBy((F.length(F.bin("n")) - 1).alias("k")).agg(F.count("*"), F.sum("n")).collect()
+    counts = {k: (n, size) for k, n, size in sizes}
+    total = sum(n for n, _ in counts.values())
+    share = float(np.sort(heavy)[-100:].mean()) / max(1, total)
+    plan = bands(counts, int(heavy.sum()), min(1.0, share))
 
     tools = spark.sparkContext.broadcast((plan, heavy))
     index = docs.select("text").mapInArrow(lambda it: _index(it, seed, *tools.value), "a long, b long")
