@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 FLUSH = 200_000
@@ -180,6 +181,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    ship(docs.sparkSession)
     rows = common.save(digests(docs, id_col, text_col), "digests")
     partial = rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n")).mapInArrow(lambda it: merge_entries(it), _ENTRY)
     part = F.conv(F.hex(F.substring("digest", 9, 2)), 16, 10).cast("int")

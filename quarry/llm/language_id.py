@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .toxicity import held_out
 
 MAX_DOCS, MAX_WORDS = 400, 60_000
@@ -234,6 +235,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")

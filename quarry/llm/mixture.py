@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 MAX_SOURCES = 1_000_000
@@ -80,6 +81,7 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), max_epochs: int = 2, block_words: int = 16, shard_words: int = 1 << 17, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, shard."""
     spark = docs.sparkSession
+    ship(spark)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row"))
     key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))

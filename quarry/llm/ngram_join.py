@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 from .components import components
 
@@ -403,6 +404,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, seed: int, tag: str) -> DataFrame
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for attempt in range(seed, seed + 8):
         made = common.save(docs.mapInArrow(lambda it, k=attempt: _profile(it, k), _PROFILE), "profile")

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common
 
 GRAMS = (3, 4, 5, 6)
@@ -132,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_column(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``df`` with the toxicity of ``text_col`` in the column ``name``."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
