@@ -1,4 +1,267 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators over the driver's tables, each with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import positional, rules, select
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- files, lines, headers
+
+
+@query("""SELECT doc_id, loc FROM (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))::BIGINT AS loc FROM documents WHERE text IS NOT NULL)
+          WHERE loc BETWEEN 2 AND 20""")
+def file_loc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return select.passing_files(docs, 2, 20, use_nonstd=True).select("doc_id", "loc")
+
+
+_LICENSE = r"(?i)\b((?:MIT|Apache|BSD|GNU|Creative Commons|Mozilla)[A-Za-z ]*?(?:License|Public License))"
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+           h AS (SELECT doc_id, CASE WHEN regexp_matches(line, '(?i)\b((?:MIT|Apache|BSD|GNU|Creative Commons|Mozilla)[A-Za-z ]*?(?:License|Public License))')
+                  THEN regexp_extract(line, '(?i)\b((?:MIT|Apache|BSD|GNU|Creative Commons|Mozilla)[A-Za-z ]*?(?:License|Public License))', 1) END AS name FROM l)
+           SELECT doc_id, count(name) AS mentions, sum(CASE WHEN name IS NOT NULL AND name NOT IN ('MIT License', 'Apache License') THEN 1 ELSE 0 END)::BIGINT AS bad,
+                  sum(CASE WHEN name IS NOT NULL AND name NOT IN ('MIT License', 'Apache License') THEN 1 ELSE 0 END) = 0 AS passes
+           FROM h GROUP BY doc_id HAVING count(name) > 0""")
+def line_allowlist_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    name = lambda x: F.when(x.rlike(_LICENSE), F.regexp_extract(x, _LICENSE, 1))
+    names = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), name), lambda n: n.isNotNull())
+    rows = docs.select("doc_id", names.alias("names")).where(F.size("names") > 0)
+    bad = F.size(F.filter("names", lambda n: ~n.isin("MIT License", "Apache License"))).cast("long")
+    return rows.select("doc_id", F.size("names").cast("long").alias("mentions"), bad.alias("bad"), (bad == 0).alias("passes"))
+
+
+@query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages)
+           SELECT page_id, target, target IN ('the', 'of', 'and', 'de', 'la', 'die', 'der') AS allowed FROM l""")
+def header_regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    # a page's targets are made distinct inside its row: no shuffle
+    found = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))).alias("target"))
+    return found.withColumn("allowed", F.col("target").isin("the", "of", "and", "de", "la", "die", "der"))
+
+
+@query("""SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_brand = 'Brand#2' AND p_size >= 10 AND p_retailprice >= 920 ORDER BY p_partkey LIMIT 16""")
+def catalog_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").where(F.col("p_retailprice") >= 920)
+    catalog = part.withColumnsRenamed({"p_brand": "language", "p_size": "size"}).withColumn("stars", F.lit(1))
+    return select.select_repos(catalog, "Brand#2", 10, 1, 15, order_col="p_partkey").select("p_partkey", "p_name", F.col("size").alias("p_size"), "p_retailprice")
+
+
+# --- counters and thresholds
+
+_KINDS = ["view", "click", "purchase", "signup", "error"]
+_COUNTS_SQL = "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in _KINDS) + " FROM events GROUP BY user_id"
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in _KINDS])
+
+
+@query(_COUNTS_SQL)
+def attr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir)
+
+
+@query("""SELECT user_id, sum(CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::BIGINT AS typed, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END)::BIGINT AS typed_once FROM events GROUP BY user_id""")
+def attr_counts_typed_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over a bag of types: a type that is asked for twice counts twice."""
+    bag = F.array(*[F.lit(x) for x in ("view", "view", "click")])
+    n = F.size(F.filter(bag, lambda t: t == F.col("event_type")))
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(n).cast("long").alias("typed"), F.count_if(n > 0).alias("typed_once"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_orderkey")
+def distinct_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("n_parts"))
+
+
+_RULES = [rules.Rule(f"max_{k}", f"n_{k}", 20, True) for k in ("click", "view", "error")] + [rules.Rule(f"min_{k}", f"n_{k}", 8, False) for k in ("click", "view", "error")]
+_CASE = "CASE " + " ".join(f"WHEN n_{r.column[2:]} {'>' if r.upper else '<'} {r.bound} THEN '{r.name}'" for r in _RULES) + " END"
+_VERDICT_SQL = f"WITH c AS ({_COUNTS_SQL}), v AS (SELECT *, {_CASE} AS failed_rule FROM c) SELECT user_id, failed_rule, failed_rule IS NOT NULL AS removed FROM v"
+
+
+@query(_VERDICT_SQL)
+def threshold_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(_counts(spark, sf_dir), _RULES, "user_id", ()).select("user_id", "failed_rule", "removed")
+
+
+@query(f"SELECT user_id FROM ({_VERDICT_SQL}) WHERE user_id IN (1, 2) OR NOT removed")
+def threshold_keep_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(_counts(spark, sf_dir), _RULES, "user_id", (1, 2)).where("not removed").select("user_id")
+
+
+# --- semi and anti joins, calls, stubs
+
+
+def _in_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def remove_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return orders.join(_in_debt(spark, sf_dir), "o_custkey", "left_semi")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def keep_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return orders.join(_in_debt(spark, sf_dir), "o_custkey", "left_anti")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, '__VERIFIER_nondet_' || regexp_replace(p_name, '[ _*]', '', 'g') || '()' AS call_text
+          FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 5""")
+def call_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").where("p_size < 5").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    calls = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    no = F.lit(False)
+    return calls.join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", T.nondet_call(T.strip_name(F.col("p_name"), no, no)).alias("call_text"))
+
+
+@query("""SELECT p_partkey, regexp_replace(p_name, '[ _*]', '', 'g') AS stripped FROM part
+          UNION ALL SELECT -1 - n_nationkey, regexp_replace(n_name, '[ _*]', '', 'g') FROM nation""")
+def type_name_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t"))
+    nation = _table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("p_partkey"), F.col("n_name").alias("t"))
+    return part.unionByName(nation).select("p_partkey", T.strip_name(F.col("t"), F.lit(False), F.lit(False)).alias("stripped"))
+
+
+@query("""SELECT p_partkey, regexp_replace(replace(replace(p_name, ' ', '_'), '*', ''), '_$', '') AS underscored FROM part
+          UNION ALL SELECT -1 - n_nationkey, regexp_replace(replace(replace(n_name, ' ', '_'), '*', ''), '_$', '') FROM nation""")
+def type_name_underscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t"))
+    nation = _table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("p_partkey"), F.col("n_name").alias("t"))
+    return part.unionByName(nation).select("p_partkey", T.underscore_name(F.col("t"), F.lit(False), F.lit(False)).alias("underscored"))
+
+
+@query("""SELECT DISTINCT 'extern ' || p_name || ' __VERIFIER_nondet_' || replace(p_name, ' ', '_') || '(void);' AS declaration FROM part""")
+def needed_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select(T.stub_declaration(F.col("p_name"), T.underscore_name(F.col("p_name"), F.lit(False), F.lit(False))).alias("declaration"))
+
+
+
+@query("""SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3')""")
+def missing_stubs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = spark.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "name string")
+    return _table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct().join(F.broadcast(declared), "name", "left_anti")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def dead_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, "o_orderkey", "left_anti")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def uncalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = _table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(large, "c_custkey", "left_anti")
+
+
+# --- positional operators over conversations and events
+
+
+@query("SELECT conv_id, bool_or(role = 'system') AS has_main FROM conversations GROUP BY conv_id")
+def has_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("has_main"))
+
+
+@query("SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id")
+def first_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.first_by(_table(spark, sf_dir, "conversations"), ["conv_id"], "text", "turn")
+
+
+@query("""SELECT conv_id, turn, role FROM conversations c WHERE turn < coalesce((SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = 'assistant'), 1000000000)""")
+def take_while_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return positional.take_while(rows, ["conv_id"], ["turn"], F.col("role") == "assistant")
+
+
+@query("""WITH s AS (SELECT conv_id AS sc, turn AS st FROM conversations WHERE role = 'system' ORDER BY conv_id, turn LIMIT 1)
+          SELECT conv_id, turn, role FROM conversations, s WHERE conv_id < sc OR (conv_id = sc AND turn < st)""")
+def take_while_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return positional.take_while_all(rows, ["conv_id", "turn"], F.col("role") == "system")
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def main_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.ordered_text(_table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS signup_id FROM events""")
+def nearest_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    return positional.nearest_preceding(rows, ["user_id"], "ts", F.col("event_type") == "signup", "event_id", "signup_id").select("event_id", "user_id", "signup_id")
+
+
+_TREE = "(VALUES (1, NULL, 'file', 'a.c'), (2, 1, 'function', 'main'), (3, 2, 'if', ''), (4, 3, 'call', 'f'), (5, 1, 'var', 'g'), (6, 1, 'function', 'f'), (7, 6, 'return', ''), (8, 7, 'ref', 'g')) AS t(id, parent, kind, name)"
+_PARENTS = f"""WITH RECURSIVE tree AS (SELECT * FROM {_TREE}),
+    up(id, above, func) AS (SELECT id, parent, CASE WHEN kind = 'function' THEN name END FROM tree
+        UNION ALL SELECT up.id, tree.parent, CASE WHEN tree.kind = 'function' THEN tree.name END FROM up JOIN tree ON up.above = tree.id WHERE up.func IS NULL)
+    SELECT CAST(id AS BIGINT) AS id, coalesce(max(func), 'Program') AS func FROM up GROUP BY id"""
+
+
+@query(_PARENTS)
+def parent_func(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_PARENTS)
+
+
+_URL = r"^[a-z]+://[^/]*([^?#]*).*$"
+
+
+@query(r"""WITH p AS (SELECT list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*([^?#]*).*$', '\1'), '/'), lambda x: x <> '') AS parts FROM pages),
+           d AS (SELECT unnest(list_transform(range(1, greatest(len(parts), 1) + 1), lambda n: array_to_string(list_slice(parts, 1, n), '/'))) AS dir FROM p)
+           SELECT dir, count(*) AS n FROM d GROUP BY dir""")
+def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.directory_rollup(_table(spark, sf_dir, "pages"), F.regexp_replace("url", _URL, "$1"), n=F.lit(1))
+
+
+@query("""SELECT toxic, count(*) AS attempted, count(*) FILTER (WHERE quality = 1) AS succeeded, count(*) FILTER (WHERE quality = 1 OR toxic = 1) AS kept FROM labels GROUP BY toxic""")
+def compile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("quality") == 1
+    return _table(spark, sf_dir, "labels").groupBy("toxic").agg(F.count("*").alias("attempted"), F.count_if(ok).alias("succeeded"), F.count_if(ok | (F.col("toxic") == 1)).alias("kept"))
+
+
+_CONFIG = ["maxIfStmt = 12abc", "useNonStdHeaders=false", "filterDir=filtered-files", "# type = Int", "type=Int string Bool", "minCallFunc = 3", "[Section]", "databaseDir=data/in", "debug = true", "x=-1"]
+
+
+@query(
+    "WITH c AS (SELECT unnest(["
+    + ", ".join(f"'{x}'" for x in _CONFIG)
+    + r"""]) AS line), m AS (SELECT line, regexp_matches(line, '^\s*(\w+)\s*=\s*([0-9]+|[\w\s,]+|[\w/-_.]+)$') AS hit FROM c),
+      k AS (SELECT line, CASE WHEN hit THEN regexp_extract(line, '^\s*(\w+)\s*=\s*([0-9]+|[\w\s,]+|[\w/-_.]+)$', 1) END AS key,
+                   CASE WHEN hit THEN regexp_extract(line, '^\s*(\w+)\s*=\s*([0-9]+|[\w\s,]+|[\w/-_.]+)$', 2) END AS value FROM m)
+      SELECT line, key, value, CASE WHEN value IN ('true', 'True') THEN 1 WHEN value IN ('false', 'False') THEN 0 ELSE try_cast(regexp_extract(value, '^\s*([+-]?\d+)', 1) AS INTEGER) END AS int_value FROM k"""
+)
+def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..config import parse_lines
+
+    return parse_lines(spark.createDataFrame([(x,) for x in _CONFIG], "line string")).select("line", "key", "value", "int_value")
