@@ -66,13 +66,18 @@ def stub_declaration(c_type: Column, name: Column) -> Column:
     return F.concat(F.lit("extern "), shown, F.lit(NONDET), name, F.lit("(void);"))
 
 
+def _relative(path: Column) -> Column:
+    """A path without its scheme."""
+    return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:(//[^/]*)?", "")
+
+
 def filtered_path(path: Column, filter_dir: str, database_dir: str) -> Column:
     """Where the filter writes a file: below ``filter_dir``, without ``..`` (unless that is the database folder)."""
-    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & ((x != "..") | (x == F.lit(database_dir))))
+    parts = F.filter(F.split(_relative(path), "/"), lambda x: (x != "") & ((x != "..") | (x == F.lit(database_dir))))
     return F.concat_ws("/", F.lit(filter_dir), F.array_join(parts, "/"))
 
 
 def benchmark_path(path: Column, benchmark_dir: str, filter_dir: str) -> Column:
     """Where the transform writes a file: below ``benchmark_dir``, without ``..`` and the filter's folder."""
-    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.isin("..", filter_dir))
+    parts = F.filter(F.split(_relative(path), "/"), lambda x: (x != "") & ~x.isin("..", filter_dir))
     return F.concat_ws("/", F.lit(benchmark_dir), F.array_join(parts, "/"))

@@ -265,3 +265,149 @@ def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..config import parse_lines
 
     return parse_lines(spark.createDataFrame([(x,) for x in _CONFIG], "line string")).select("line", "key", "value", "int_value")
+
+
+# --- C sources: on embedded files; the expected rows are worked out by hand
+
+
+def _snippets(spark: SparkSession) -> DataFrame:
+    from .snippets import FILES
+
+    return spark.createDataFrame(sorted(FILES.items()), "path string, text string")
+
+
+def _stage(spark: SparkSession) -> tuple:
+    from ..config import parse
+    from . import snippets, stages
+
+    config = parse(snippets.CONFIG)
+    return stages, config, stages.parse_passing(_snippets(spark), config)
+
+
+@query("SELECT * FROM (VALUES ('a/keep.c', 25, 0, true), ('a/nomain.c', 17, 0, true), ('b/foreign.c', 4, 1, false), ('b/short.c', 1, 0, false)) AS t(path, loc, nonstd_includes, passes)")
+def c_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = select.file_stats(_snippets(spark))
+    return rows.select("path", F.col("loc").cast("int").alias("loc"), F.col("nonstd_includes").cast("int").alias("nonstd_includes"), (F.col("loc").between(3, 99999) & (F.col("nonstd_includes") == 0)).alias("passes"))
+
+
+@query("""SELECT * FROM (VALUES ('a/keep.c', 'outside', false, 'Int'), ('a/keep.c', 'flag', true, 'Bool'), ('a/keep.c', 'label', true, 'Pointer'), ('a/keep.c', 'count', true, 'Int'), ('a/keep.c', 'main', true, 'Int'),
+          ('a/nomain.c', 'twice', true, 'Int'), ('a/nomain.c', 'half', true, 'Float'), ('a/nomain.c', 'sum', true, 'Int')) AS t(path, func, is_def, ret_type_kind)""")
+def c_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import cfront
+
+    _, _, parsed = _stage(spark)
+    return cfront.functions(parsed).select("path", "func", "is_def", "ret_type_kind")
+
+
+_C = "CallFunc ForLoops IfStmt WhileLoops TypeIfStmt TypeArithmeticOperation TypeCompareOperation TypeUnaryOperation TypePrefix TypePostfix TypeVariableReference TypeVariables Functions".split()
+
+
+@query(f"""SELECT * FROM (VALUES
+    ('a/keep.c', 'Program', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 5), ('a/keep.c', 'outside', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0), ('a/keep.c', 'flag', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    ('a/keep.c', 'label', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), ('a/keep.c', 'count', 0, 1, 1, 0, 1, 2, 2, 6, 0, 2, 10, 3, 0), ('a/keep.c', 'main', 5, 0, 1, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0),
+    ('a/nomain.c', 'Program', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 3), ('a/nomain.c', 'twice', 0, 0, 1, 0, 1, 2, 0, 0, 0, 0, 3, 1, 0), ('a/nomain.c', 'half', 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0),
+    ('a/nomain.c', 'sum', 0, 0, 0, 1, 0, 1, 1, 2, 1, 0, 5, 2, 0)) AS t(path, func, {', '.join(_C)})""")
+def c_attr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import cfront
+
+    _, config, parsed = _stage(spark)
+    return cfront.func_attrs(parsed, config).select("path", "func", *[F.col(c).cast("int").alias(c) for c in _C])
+
+
+@query("""SELECT * FROM (VALUES ('a/keep.c', 'Program', NULL), ('a/keep.c', 'outside', 'minTypeArithmeticOperation'), ('a/keep.c', 'flag', 'minTypeArithmeticOperation'), ('a/keep.c', 'label', 'minTypeArithmeticOperation'),
+          ('a/keep.c', 'count', NULL), ('a/keep.c', 'main', NULL), ('a/nomain.c', 'Program', NULL), ('a/nomain.c', 'twice', NULL), ('a/nomain.c', 'half', 'minTypeArithmeticOperation'), ('a/nomain.c', 'sum', 'minTypeIfStmt')) AS t(path, func, failed_rule)""")
+def c_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages, config, parsed = _stage(spark)
+    return stages.function_verdicts(parsed, config).select("path", "func", "failed_rule")
+
+
+_FILTERED = """#include <stdio.h>
+#include <stdbool.h>
+
+extern int __VERIFIER_nondet_int(void);
+extern void *__VERIFIER_nondet_pointer(void);
+extern _Bool __VERIFIER_nondet_bool(void);
+int limit = 3;
+
+
+
+
+
+
+
+
+int count(int a, unsigned char b) {
+  int n = 0;
+  if (a + n > limit) {
+    n++;
+  }
+  for (int i = 0; i < a; i++) {
+    n += -i;
+  }
+  return n;
+}
+
+int main(void) {
+  if (__VERIFIER_nondet_bool()) {
+    printf("%s", __VERIFIER_nondet_pointer());
+  }
+  return count(__VERIFIER_nondet_int(), 1) - 1;
+}
+"""
+
+
+@query(f"SELECT 'a/keep.c' AS path, '{_FILTERED}' AS text, 'filteredFiles/a/keep.c' AS out_path")
+def c_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter's output: functions removed, their calls replaced, stubs declared."""
+    stages, config, _ = _stage(spark)
+    return stages.run_filter(_snippets(spark).where("path = 'a/keep.c'"), config)
+
+
+_SYNTH = """#include <stdlib.h>
+
+extern float __VERIFIER_nondet_float(void);
+extern int __VERIFIER_nondet_int(void);
+int twice(int x) {
+  if (x - 1) {
+    return x + x;
+  }
+  return 0;
+}
+
+float half(float y, bool z) {
+  return z ? y / 2 : -y;
+}
+
+int sum(int *v, int n) {
+  int s = 0;
+  while (n > 0) {
+    s = s + v[--n];
+  }
+  return s;
+}
+int main(void) {
+    twice(__VERIFIER_nondet_int());
+    half(__VERIFIER_nondet_float(), __VERIFIER_nondet_bool());
+    return 0;
+}
+"""
+_SYNTH = _SYNTH.replace("extern float", "extern _Bool __VERIFIER_nondet_bool(void);\nextern float")
+
+
+@query(f"SELECT 'a/nomain.c' AS path, '{_SYNTH}' AS text, 'benchmarks/a/nomain.c' AS out_path, true AS compiles")
+def c_main_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform's output: main calls what nothing else does, up to the first function with a pointer parameter."""
+    stages, config, _ = _stage(spark)
+    return stages.run_transform(_snippets(spark).where("path = 'a/nomain.c'"), config)
+
+
+@query("SELECT * FROM (VALUES ('a', 2, 2), ('a/keep.c', 1, 1), ('a/nomain.c', 1, 1)) AS t(dir, attempted, succeeded)")
+def c_full_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both stages over all files: what compiles, by folder."""
+    from ..config import parse
+    from . import snippets, stages
+
+    config = parse(snippets.CONFIG)
+    config.keep_compiles_only = False
+    out = stages.summary_by_directory(stages.run_full(_snippets(spark), config))
+    return out.select("dir", F.col("attempted").cast("int").alias("attempted"), F.col("succeeded").cast("int").alias("succeeded"))

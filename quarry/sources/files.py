@@ -24,14 +24,14 @@ def read_sources(spark: SparkSession, path: str, suffix: str = ".c") -> DataFram
         return spark.createDataFrame([], SOURCES)
     if not fs.getFileStatus(hadoop).isDirectory() and not path.endswith(suffix):
         return spark.createDataFrame([], SOURCES)
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("wholetext", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def stream_sources(spark: SparkSession, path: str, suffix: str = ".c") -> DataFrame:
     """The same as a stream of files as they arrive."""
-    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("wholetext", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def lines(sources: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
