@@ -15,8 +15,8 @@ H = (|A| + |B|) / 9 shingles. The method, on classes of documents with equal set
    * few larger segments, each with all one-deletion variants.
    A set also indexes under the band below where a smaller partner may lie there.
 3. Groups. Classes on one key form a group; equal groups are taken once. In each group all members are held against its hub,
-   the member with the most shared keys, and verified exactly. Links so far give components; only groups that still lie in several
-   components go on, and of these only pairs across components whose sizes and histograms allow a link (|h(A) - h(B)|_1 <= H)
+   the member with the most shared keys: what sizes and histograms allow (|h(A) - h(B)|_1 <= H) is verified exactly. Links so far give components; only groups that still lie in several
+   components go on, and of these only possible pairs across components
    are verified. So no link between components is lost, and groups aren't expanded into all pairs.
 4. Components by alternating star contraction, as tables; nothing is collected.
 
@@ -360,6 +360,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sizes and histograms allow a link; rows (a, b, n of a, n of b, bins of a, bins of b)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            m, n = part.column(2).to_numpy(), part.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
+            far = np.maximum(np.abs(x - y).sum(1, dtype=np.int32), np.abs(m - n))
+            ok = pa.array((9 * far <= m + n) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)))
+            yield part.select([0, 1]).filter(ok).cast(_PAIR)
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and histograms don't rule out."""
+    a = classes.select(F.col("c").alias("a"), F.col("n").alias("an"), F.col("bins").alias("ab"))
+    b = classes.select(F.col("c").alias("b"), F.col("n").alias("bn"), F.col("bins").alias("bb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "an", "bn", "ab", "bb").mapInArrow(_possible, "a long, b long")
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs in different components of a group whose sizes and histograms allow a link; rows (group, class, component, n, bins)."""
     for starts, columns in _runs(batches):
@@ -433,7 +452,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = groups.join(degree, "c")
     hub = ranked.groupBy("g").agg(F.max(F.struct("d", "c")).alias("hub")).select("g", F.col("hub.c").alias("a"))
     star = common.save(groups.join(hub, "g").where("c <> a").select("a", F.col("c").alias("b")).distinct(), "star")
-    links = _verify(docs, star, seed, "links")
+    links = _verify(docs, common.save(possible(star, classes), "possible"), seed, "links")
     found = components(links)
 
     # What still lies in several components.
