@@ -54,28 +54,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, min_cov
     wins = common.save(wins.withColumn("key", key(F.slice("item", F.col("at") + 1, window))), "windows")
     side = common.maybe_broadcast(wins, wins.count(), 512)
 
-    text = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon")).where("canon <> ''")
+    text = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon"))
     # the words of every window-th place, as text: one pass of a pattern
     found = F.regexp_extract_all(template(F.col("canon")), F.lit(rf"(?:\S+ ){{{window - 1}}}\S+"), F.lit(0))
     spread = text.select("doc_id", "canon", F.posexplode(found).alias("nth", "part")).withColumn("key", F.xxhash64("part"))
     hits = spread.join(side, "key").withColumn("shift", F.col("nth") * window - F.col("at"))
 
-    words = F.split("canon", " ")
+    # What follows the join in its stage is the slice of words beside the item. Neither a filter on slots (it would be pushed
+    # into the join) nor the text may cross the stage's end: rows are buffered there.
     n = F.size("item")
     lead = F.greatest(-F.col("shift"), F.lit(0))
-    part = F.slice(F.col("words"), F.col("shift") + F.col("lead") + 1, n - F.col("lead"))
-    hits = hits.withColumn("words", words).withColumn("lead", lead).withColumn("part", part)
-    pairs = F.zip_with(F.slice("item", F.col("lead") + 1, n), F.col("part"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    part = F.slice(F.split("canon", " "), F.col("shift") + lead + 1, n - lead)
+    hits = hits.select("doc_id", "item_id", "shift", "item", lead.alias("lead"), part.alias("part"))
+    pairs = F.zip_with(F.slice("item", F.col("lead") + 1, F.size("part")), F.col("part"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = F.filter(pairs, lambda x: _mark(x["a"]) == _mark(x["b"]))
-    hits = hits.withColumn("pairs", pairs)
+    hits = hits.select("doc_id", "item_id", "shift", n.cast("long").alias("item_words"), pairs.alias("pairs"))
     slots = F.array_distinct(F.filter("pairs", lambda x: x["a"].rlike("^[#@]")))
-    hits = hits.withColumn("slots", slots)
+    hits = hits.select("doc_id", "item_id", "shift", "item_words", F.size("pairs").cast("long").alias("same_words"), slots.alias("slots"))
     to = F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
     back = F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))
     consistent = (to == F.size("slots")) & (back == F.size("slots"))
     same = ~F.exists("slots", lambda x: x["a"] != x["b"])
-    rows = hits.where(consistent).select("doc_id", "item_id", "shift", F.size("pairs").cast("long").alias("matched"), n.cast("long").alias("item_words"), same.alias("same"))
-    laid = rows.groupBy("doc_id", "item_id", "shift").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.max("same").alias("same"))
+    rows = hits.select("doc_id", "item_id", "shift", F.when(consistent, F.col("same_words")).otherwise(0).alias("matched"), "item_words", (consistent & same).alias("same"))
+    laid = rows.groupBy("doc_id", "item_id", "shift").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.max("same").alias("same")).where("matched > 0")
     both = laid.groupBy("doc_id", "item_id").agg(F.sum("matched").alias("total"), F.max("item_words").alias("item_words"), F.min("same").alias("same_slots"))
     matched = F.least("total", "item_words")
     out = both.select("doc_id", "item_id", matched.alias("matched"), "item_words", (matched / F.col("item_words")).alias("coverage"), "same_slots")

@@ -174,7 +174,9 @@ def bands(counts: dict[int, tuple[int, int]], heavy: int, common_share: float) -
             return math.exp(-rare * max(0.0, members))
 
         by_exact = need + crowd * max(0.0, exact * alone(typical / exact) - (exact - need))
-        by_deletion = few + typical + crowd * (few * alone(typical / few) + typical * alone(typical / few - 1))
+        # a single segment is the whole set: sets on one variant of it differ in two shingles at most
+        wrong = few * alone(typical / few) + typical * alone(typical / few - 1) if few > 1 else 0
+        by_deletion = few + typical + crowd * wrong
         out[k] = Band(few, True) if by_deletion < by_exact else Band(exact, False)
     return out
 
