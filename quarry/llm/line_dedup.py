@@ -30,27 +30,27 @@ from . import common
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, words): lines that have words, numbered from 0 over all lines of the text."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    words = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
-    return split.select("doc_id", "line_no", words.alias("norm")).where("norm <> ''").withColumn("words", F.split("norm", " ")).withColumn("h", F.xxhash64("norm"))
+    """(doc_id, line_no, norm, h): lines that have words, numbered from 0 over all lines of the text; one pattern pass a text."""
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+    return split.select("doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''").withColumn("h", F.xxhash64("norm"))
 
 
 def _grid(n: Column) -> Column:
-    """The largest power of two up to ``n``; 0 for 0."""
-    n = F.greatest(n.cast("int"), F.lit(0))
-    return F.when(n > 0, F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1)).otherwise(0)
+    """The largest power of two up to ``n``; 1 for less."""
+    return F.call_function("shiftleft", F.lit(1), F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
 
 
 def halves(rows: DataFrame, min_words: int) -> DataFrame:
     """``rows`` with ``keys``: hashes of the first and of the last half of the words, for its own length and one less."""
-    n = F.size("words")
-    out = rows.withColumn("g", _grid(F.floor((n - 1) / 2))).withColumn("g1", _grid(F.floor((n - 2) / 2)))
+    out = rows.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    out = out.withColumn("g", _grid(F.shiftright(F.col("n") - 1, 1))).withColumn("g1", _grid(F.shiftright(F.col("n") - 2, 1)))
 
     def pair(g: str) -> list[Column]:
-        return [F.xxhash64(F.lit("a"), F.col(g), F.concat_ws(" ", F.slice("words", 1, F.col(g)))), F.xxhash64(F.lit("z"), F.col(g), F.concat_ws(" ", F.slice("words", n - F.col(g) + 1, F.col(g))))]
+        first, last = F.call_function("substring_index", "norm", F.lit(" "), F.col(g)), F.call_function("substring_index", "norm", F.lit(" "), -F.col(g))
+        return [F.xxhash64(F.lit("a"), F.col(g), first), F.xxhash64(F.lit("z"), F.col(g), last)]
 
-    keys = F.when(n < min_words, F.array().cast("array<bigint>")).when(F.col("g") == F.col("g1"), F.array(*pair("g"))).otherwise(F.array(*pair("g"), *pair("g1")))
+    keys = F.when(F.col("n") < min_words, F.array().cast("array<bigint>")).when(F.col("g") == F.col("g1"), F.array(*pair("g"))).otherwise(F.array(*pair("g"), *pair("g1")))
     return out.withColumn("keys", keys)
 
 
@@ -76,9 +76,9 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     # Lines on a shared half key: one row per different line, with its earliest place.
     hot = shared.where("low <> high").select("key")
     hot = common.maybe_broadcast(hot, hot.count(), 16)
-    may = halves(every, min_words).select("doc_id", "line_no", "h", "words", F.explode("keys").alias("key")).join(hot, "key", "left_semi")
-    may = may.groupBy("h").agg(F.min(place).alias("place"), F.first("words").alias("words"))
-    may = common.save(may, "lines")
+    may = halves(every, min_words).select("doc_id", "line_no", "h", "norm", F.explode("keys").alias("key")).join(hot, "key", "left_semi")
+    may = may.groupBy("h").agg(F.min(place).alias("place"), F.first("norm").alias("norm"))
+    may = common.save(may, "lines").withColumn("words", F.split("norm", " "))
 
     at = F.explode(F.sequence(F.lit(0), F.size("words")))
     cut = F.concat(F.slice("words", 1, F.greatest(F.col("i") - 1, F.lit(0))), F.slice("words", F.col("i") + 1, F.size("words")))
