@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's ``docs``.
-All but the last return the columns of ``docs``.
+All but the last return the columns of ``docs``. Documents with a null doc_id can't be told apart by it: the near-duplicate and
+the decontamination stage keep them.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one that gives the group its id."""
     found = common.save(ngram_join.ngram_join(docs), "near")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).where("doc_id is not null").select("doc_id").distinct()
     return common.drop_ids(docs, gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return common.drop_ids(docs, common.save(found.select("doc_id").distinct(), "leaks"))
+    return common.drop_ids(docs, common.save(found.where("doc_id is not null").select("doc_id").distinct(), "leaks"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,11 +144,12 @@ def test_near_lines(spark):
             text.append(" ".join(w).title() + rng.choice(["", ".", " !"]))
         rows.append((i, "\n".join(text)))
     docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, h string, line_no int, words string")
-    got = {(r.doc_id, r.line_no): ((r.keep_doc_id, r.keep_line_no), r.edits) for r in line_dedup.near_lines(docs).collect()}
+    dropped = line_dedup.near_lines(docs).cache()
+    got = {(r.doc_id, r.line_no): ((r.keep_doc_id, r.keep_line_no), r.edits) for r in dropped.collect()}
     want = brute_lines(rows)
     assert got == want and sum(e for _, e in want.values()) > 10
     assert line_dedup.near_lines(docs.limit(0)).count() == 0
-    cleaned = line_dedup.without_lines(docs.select("doc_id", "text"), line_dedup.near_lines(docs)).collect()
+    cleaned = line_dedup.without_lines(docs.select("doc_id", "text"), dropped).collect()
     assert sum(len((r.text or "").split("\n")) for r in cleaned) >= sum(len((t or "").split("\n")) for _, t in rows) - len(want) and len(cleaned) == len(rows)
 
 
