@@ -9,12 +9,10 @@ that can't have a neighbour are set aside first, without loss: one edit leaves t
 half of the words as it was. Each line gives a key for either half (lengths are powers of two, so that
 lines one word apart mostly share them); keys are reduced to their smallest and largest line hash before the
 shuffle, and only lines on a key with two different hashes go on. These emit themselves and all their
-one-word deletions as hashed keys; equal keys join, the edit distance is verified on the words,
-and the earliest partner is kept. Equal lines are one row (their earliest place) in all of this.
-
-Within a variant's group rows don't pair with all others: each is compared with the group's
-earliest line, and with others only where that one isn't within the bound (a group shares one variant, so
-its members are at most two edits apart).
+one-word deletions as hashed keys. Lines that agree with the same place taken out are near each other, and so are a line and
+what another leaves; so each key is reduced to its earliest lines, and each line meets these alone, never all others
+of its group. The edit distance to the earliest is verified on the words. Equal lines are one row (their
+earliest place) in all of this.
 
 Defined results: null and empty texts and lines without words give nothing; rows that repeat a doc_id and line
 number are one place and don't displace each other; a null doc_id sorts first; an empty table gives no
@@ -67,45 +65,42 @@ def within_one(a: Column, b: Column) -> Column:
 
 def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per dropped line: doc_id, line_no, keep_doc_id, keep_line_no, edits (0 or 1)."""
-    every = lines(docs, id_col, text_col)
+    every = halves(lines(docs, id_col, text_col), min_words)
     place = F.struct("doc_id", "line_no")
-    keyed = halves(every, min_words).select("h", place.alias("place"), F.explode(F.concat(F.array(F.xxhash64(F.lit("="), "h")), "keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min("place").alias("first"), F.max("place").alias("last"))
-    shared = common.save(shared.where("low <> high or first <> last"), "halves")
+    known = common.save(every.select("doc_id", "line_no", "h", "keys"), "keys")
+
+    # Equal lines: the earliest place of those that occur more than once.
+    equal = known.groupBy("h").agg(F.min(place).alias("own"), F.count("*").alias("n")).where("n > 1").select("h", "own")
 
-    # Lines on a shared half key: one row per different line, with its earliest place.
-    hot = shared.where("low <> high").select("key")
+    # Lines on a half key that a different line has too: one row per different line, with its earliest place.
+    hot = known.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    hot = common.save(hot.select("key"), "halves")
     hot = common.maybe_broadcast(hot, hot.count(), 16)
-    may = halves(every, min_words).select("doc_id", "line_no", "h", "norm", F.explode("keys").alias("key")).join(hot, "key", "left_semi")
-    may = may.groupBy("h").agg(F.min(place).alias("place"), F.first("norm").alias("norm"))
-    may = common.save(may, "lines").withColumn("words", F.split("norm", " "))
-
-    at = F.explode(F.sequence(F.lit(0), F.size("words")))
-    cut = F.concat(F.slice("words", 1, F.greatest(F.col("i") - 1, F.lit(0))), F.slice("words", F.col("i") + 1, F.size("words")))
-    variants = may.select("h", "place", "words", at.alias("i")).withColumn("variant", F.when(F.col("i") == 0, F.col("words")).otherwise(cut))
-    variants = variants.select("h", "place", F.xxhash64(F.concat_ws(" ", "variant")).alias("v")).distinct()
-    # A group's members meet its earliest line; those that aren't within the bound of it meet the others.
-    groups = variants.groupBy("v").agg(F.min(F.struct("place", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("v", F.col("first.h").alias("fh"))
-    grouped = variants.join(groups, "v")
-    star = grouped.where("h <> fh").select("h", F.col("fh").alias("eh")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = may.select("h", F.col("place").alias("p"), F.col("words").alias("w"))
-        b = may.select(F.col("h").alias("eh"), F.col("place").alias("ep"), F.col("words").alias("ew"))
-        return pairs.join(a, "h").join(b, "eh").where((F.col("ep") < F.col("p")) & within_one(F.col("w"), F.col("ew"))).select("h", "eh", "ep")
-
-    near = common.save(verified(star), "star")
-    left = grouped.where("h <> fh").join(near.select("h", F.col("eh").alias("fh")), ["h", "fh"], "left_anti").select("v", "h", "place")
-    rest = grouped.where("h <> fh").select("v", F.col("h").alias("eh"), F.col("place").alias("ep"))
-    cross = left.join(rest, "v").where("ep < place").select("h", "eh").distinct()
-    near = near.unionByName(verified(cross)).groupBy("h").agg(F.min("ep").alias("near"))
+    may = every.select("doc_id", "line_no", "h", "norm", F.explode("keys").alias("key")).join(hot, "key", "left_semi")
+    may = common.save(may.groupBy("h").agg(F.min(place).alias("place"), F.first("norm").alias("norm")), "lines")
+
+    # Variants. Two lines are near when the same place taken out leaves the same words (role 1), or when one is what
+    # the other (role 2) leaves, the whole of it (role 3).
+    split = may.select("h", "place", F.split("norm", " ").alias("words")).select("h", "place", "words", F.explode(F.sequence(F.lit(0), F.size("words"))).alias("i"))
+    cut = F.concat_ws(" ", F.slice("words", 1, F.greatest(F.col("i") - 1, F.lit(0))), F.slice("words", F.col("i") + 1, F.size("words")))
+    split = split.select("h", "place", "i", F.when(F.col("i") == 0, F.concat_ws(" ", "words")).otherwise(cut).alias("rest"))
+    role = lambda n: F.lit(n).alias("role")
+    whole_key, part_key = F.xxhash64(F.lit("w"), "rest").alias("key"), F.xxhash64(F.lit("s"), "i", "rest").alias("key")
+    roles = F.when(F.col("i") == 0, F.array(F.struct(whole_key, role(3)))).otherwise(F.array(F.struct(part_key, role(1)), F.struct(whole_key, role(2))))
+    variants = split.select("h", "place", F.explode(roles).alias("x")).select("h", "place", "x.key", "x.role")
+    one = F.struct("place", "h")
+    groups = variants.groupBy("key").agg(F.min(F.when(F.col("role") < 3, one)).alias("part"), F.min(F.when(F.col("role") == 3, one)).alias("whole"), F.count("*").alias("n"), F.max("role").alias("top"))
+    groups = common.save(groups.where("n > 1 and (top = 1 or top = 3 and part is not null)").select("key", "part", "whole"), "groups")
+    met = variants.join(common.maybe_broadcast(groups, groups.count(), 120), "key")
+    earlier = F.when(F.col("role") == 2, F.col("whole")).otherwise(F.col("part"))
+    near = met.select("h", "place", earlier.alias("e")).where("e.place < place").groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.place").alias("near"), F.col("e.h").alias("eh"))
+    a, b = may.select("h", F.col("norm").alias("a")), may.select(F.col("h").alias("eh"), F.col("norm").alias("b"))
+    checked = near.join(a, "h").join(b, "eh").where(within_one(F.split("a", " "), F.split("b", " "))).select("h", "near")
 
     # Decisions by line hash, then the places that fall under them.
-    equal = shared.where("low = high").select(F.col("low").alias("h"), F.col("first"))
-    verdict = near.join(equal, "h", "full_outer").join(may.select("h", F.col("place").alias("own")), "h", "left")
-    verdict = common.save(verdict.select("h", F.coalesce("first", "own").alias("own"), "near"), "verdicts")
-    verdict = common.maybe_broadcast(verdict, verdict.count(), 64)
-    hit = every.select("h", place.alias("place")).join(verdict, "h")
+    verdict = checked.join(equal, "h", "full_outer").join(may.select("h", F.col("place").alias("own1")), "h", "left")
+    verdict = common.save(verdict.select("h", F.coalesce("own", "own1").alias("own"), "near"), "verdicts")
+    hit = known.select("h", place.alias("place")).join(common.maybe_broadcast(verdict, verdict.count(), 64), "h")
     by_near = F.col("near") < F.col("place")
     by_equal = F.col("own") < F.col("place")
     keep = F.when(by_near & by_equal, F.least("near", "own")).when(by_near, F.col("near")).when(by_equal, F.col("own"))

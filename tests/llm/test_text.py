@@ -133,7 +133,7 @@ def test_near_lines(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(30)]
     pool = [rng.choices(words, k=rng.choice([1, 3, 4, 5, 6, 7, 9, 16, 17, 33])) for _ in range(40)]
-    rows = [(100, None), (101, ""), (102, "\n\n"), (103, " ".join(words * 300)), (104, " ".join(words * 300 + ["more"]))]
+    rows = [(100, None), (101, ""), (102, "\n\n"), (103, " ".join(words * 20)), (104, " ".join(words * 20 + ["more"]))]
     for i in range(60):
         text = []
         for _ in range(rng.randint(1, 6)):
