@@ -1,15 +1,14 @@
-"""Shared helpers: written intermediate tables, size-checked broadcasts."""
+"""Shared helpers: size-checked broadcasts, tables by name, rows without some ids."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import save, scratch_dir
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "ascii_lower", "drop_ids", "maybe_broadcast", "save", "scratch_dir", "table"]
+
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,30 +16,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: width stay below this.
 BROADCAST_BYTES = 32 << 20
 
-_own_dir: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends here
-    and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if it is provably small, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

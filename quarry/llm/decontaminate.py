@@ -8,7 +8,7 @@ how the item lies over the document; there the templates are compared word by wo
 must be consistent: a value of the item stands for one value of the document wherever it occurs, and the other way round.
 
 The benchmark side is broadcast only when its counted windows are small (``common.BROADCAST_BYTES``), then documents don't move at
-all; else the windows meet in a shuffled join. Verification runs in the scan's stage on the words at hand, and what
+all; else hashed windows meet in a shuffled join and texts with hits follow by id. Verification runs in the scan's stage on the words at hand, and what
 is shuffled is one small row per hit, pre-aggregated by (document, item, offset).
 
 Defined results: null and empty texts and items, and items of fewer words than a window, match nothing; rows that repeat a doc_id or item_id count together; empty tables give no rows; other columns are not
@@ -52,13 +52,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, min_cov
     wins = items.where(F.size("item") >= window).select("item_id", "item", starts.alias("at"))
     key = lambda words: F.xxhash64(F.concat_ws(" ", F.transform(words, _mark)))
     wins = common.save(wins.withColumn("key", key(F.slice("item", F.col("at") + 1, window))), "windows")
-    side = common.maybe_broadcast(wins, wins.count(), 512)
+    windows = wins.count()
+    side = common.maybe_broadcast(wins, windows, 512)
 
     text = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon"))
     # the words of every window-th place, as text: one pass of a pattern
     found = F.regexp_extract_all(template(F.col("canon")), F.lit(rf"(?:\S+ ){{{window - 1}}}\S+"), F.lit(0))
     spread = text.select("doc_id", "canon", F.posexplode(found).alias("nth", "part")).withColumn("key", F.xxhash64("part"))
-    hits = spread.join(side, "key").withColumn("shift", F.col("nth") * window - F.col("at"))
+    if windows * 512 <= common.BROADCAST_BYTES:
+        hits = spread.join(side, "key")
+    else:  # only ids and hashes are shuffled to the windows; the texts of documents with a hit are joined back
+        met = spread.select("doc_id", "nth", "key").join(side, "key").withColumnRenamed("doc_id", "__id")
+        hits = text.join(met, text["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
+    hits = hits.withColumn("shift", F.col("nth") * window - F.col("at"))
 
     # What follows the join in its stage is the slice of words beside the item. Neither a filter on slots (it would be pushed
     # into the join) nor the text may cross the stage's end: rows are buffered there.

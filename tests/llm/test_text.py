@@ -207,3 +207,10 @@ def test_rotation(spark):
     assert "".join(r.segment for r in mine[2:]) == "<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=cy\né<|im_end|>\n"
     assert [r.segment[r.mask_start : r.mask_end] for r in mine] == ["", "hi<|im_end|>", "hi<|im_end|>", "", ""]
     assert {r.perspective for r in out if r.conv_id == 2} == {"unknown"} and perspectives.rotate(turns.limit(0)).count() == 0
+
+
+def test_contaminated_without_broadcast(spark, data, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate.common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == want
