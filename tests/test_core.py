@@ -141,3 +141,14 @@ def test_streaming_sources(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("files").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("files").first().loc == 1
+
+
+def test_filter_arriving(spark, tmp_path):
+    from quarry.streaming.incremental import filter_arriving
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.c").write_text("int f(void) {\n  return 1;\n}\n")
+    (tmp_path / "in/b.c").write_text("#include <other.h>\n")
+    for _ in range(2):
+        filter_arriving(spark, str(tmp_path / "in"), str(tmp_path / "out"), config.parse(""), str(tmp_path / "ck")).awaitTermination(120)
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["int f(void) {\n  return 1;\n}\n"]
