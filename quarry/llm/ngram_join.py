@@ -136,6 +136,19 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         part, size = [], 0
 
 
+def histogram(s: np.ndarray) -> bytes | None:
+    """Counts of a set's members, at most about eight to a bin, so that unlike sets differ whatever their size; capped at 255."""
+    if not len(s):
+        return None
+    size = max(BINS, 1 << (len(s) // 8).bit_length())
+    return np.minimum(np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def fold(bins: np.ndarray, size: int) -> np.ndarray:
+    """A histogram on fewer bins, a power of two."""
+    return bins.reshape(-1, size).sum(0, dtype=np.int32)
+
+
 def class_of(s: np.ndarray, seed: int) -> tuple[int, int]:
     """Two hashes of a set."""
     a = mix(s ^ _U(0x1234567 + seed)).sum(dtype=_U)
@@ -166,7 +179,7 @@ def bands(counts: dict[int, tuple[int, int]], heavy: int, common_share: float) -
         typical = size / n
         # passages are as long in short sets as in long ones
         rare = 1 - min(0.9, heavy / max(1, shingles) * shingles / classes / typical)
-        exact, few = top // 2 + 2, max(1, -(-(bound(top) + 1) // 2))
+        exact, few = top // 3 + 2, max(1, -(-(bound(top) + 1) // 2))
         need = bound(int(typical)) + 1
         crowd = 4 * n * common_share
 
@@ -228,7 +241,7 @@ def _profile(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Record
             n.append(len(s))
             c.append(a)
             c2.append(b)
-            bins.append(np.minimum(np.bincount((s & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) else None)
+            bins.append(histogram(s))
             places.append(s >> _U(64 - SKETCH_BITS))
             if len(places) >= 512:
                 counts += np.bincount(np.concatenate(places).astype(np.int64), minlength=len(counts))
@@ -368,10 +381,13 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             m, n = part.column(2).to_numpy(), part.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
-            far = np.maximum(np.abs(x - y).sum(1, dtype=np.int32), np.abs(m - n))
-            ok = pa.array((9 * far <= m + n) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)))
-            yield part.select([0, 1]).filter(ok).cast(_PAIR)
+            ok = 5 * np.minimum(m, n) >= 4 * np.maximum(m, n)
+            x, y = part.column(4).to_pylist(), part.column(5).to_pylist()
+            for i in np.flatnonzero(ok):
+                one, two = np.frombuffer(x[i], np.uint8), np.frombuffer(y[i], np.uint8)
+                size = min(len(one), len(two))
+                ok[i] = 9 * int(np.abs(fold(one, size) - fold(two, size)).sum()) <= m[i] + n[i]
+            yield part.select([0, 1]).filter(pa.array(ok)).cast(_PAIR)
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -385,18 +401,25 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs in different components of a group whose sizes and histograms allow a link; rows (group, class, component, n, bins)."""
     for starts, columns in _runs(batches):
         c, comp, n = (columns[i].to_numpy() for i in (1, 2, 3))
-        bins = np.frombuffer(b"".join(columns[4].to_pylist()), np.uint8).reshape(-1, BINS)
+        bins = columns[4].to_pylist()
         a, b = [], []
         for lo, hi in zip(starts, [*starts[1:], len(c)]):
             order = lo + np.argsort(n[lo:hi], kind="stable")
-            gn, gc, gk, gb = n[order], c[order], comp[order], bins[order].astype(np.int16)
+            gn, gc, gk = n[order], c[order], comp[order]
+            gb = [np.frombuffer(bins[i], np.uint8) for i in order]
             last = np.searchsorted(gn, 5 * gn // 4, "right")
+            size, folded = 0, np.zeros((0, 0), np.int16)
             for i in range(hi - lo):
                 js = np.arange(i + 1, last[i])
                 js = js[gk[js] != gk[i]]
-                for part in np.array_split(js, max(1, len(js) // 4096)):
+                if not len(js):
+                    continue
+                if len(gb[i]) != size:  # sizes ascend, and with them the bins
+                    size, at = len(gb[i]), i
+                    folded = np.stack([fold(g, size) for g in gb[i:]]).astype(np.int16)
+                for part in np.array_split(js, max(1, len(js) * size // (1 << 20))):
                     if len(part):
-                        far = np.abs(gb[part] - gb[i]).sum(1, dtype=np.int32)
+                        far = np.abs(folded[part - at] - folded[i - at]).sum(1, dtype=np.int32)
                         ok = part[9 * far <= gn[part] + gn[i]]
                         a.append(np.full(len(ok), gc[i]))
                         b.append(gc[ok])
