@@ -2,16 +2,17 @@
 
 Text becomes words whose numbers, names (capitalised words inside a sentence) and units (after a number) carry
 a type mark and their value: ``#12 %kg @alice``. The template keeps the marks alone, so a question with other numbers or
-names has the same template. Windows of ``window`` template words are hashed: all windows of the benchmark, and of each
-document those at every ``window``-th word, which still meet any shared passage of 2 * window - 1 words. A hit fixes
-how the item lies over the document; there the templates are compared word by word over the whole item, and slots
+names has the same template. Windows of ``window`` template words are hashed, at every word of the
+benchmark and of the documents, so any shared run of ``window`` words meets; an item of fewer words is one window of its own length. Of the windows
+of one run only the first is followed up (the word before it differs). A hit fixes how the item lies over the document; there the templates are compared word by word over the whole item, and slots
 must be consistent: a value of the item stands for one value of the document wherever it occurs, and the other way round.
 
 The benchmark side is broadcast only when its counted windows are small (``common.BROADCAST_BYTES``), then documents don't move at
 all; else hashed windows meet in a shuffled join and texts with hits follow by id. Verification runs in the scan's stage on the words at hand, and what
 is shuffled is one small row per hit, pre-aggregated by (document, item, offset).
 
-Defined results: null and empty texts and items, and items of fewer words than a window, match nothing; rows that repeat a doc_id or item_id count together; empty tables give no rows; other columns are not
+Defined results: null and empty texts and items match nothing; items of fewer words than a window match where they lie whole, and with their own values
+if they are numbers, names and units alone; rows that repeat a doc_id or item_id count together; empty tables give no rows; other columns are not
 read.
 """
 
@@ -48,23 +49,32 @@ def _mark(word: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, min_cover: float = 0.5, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, matched, item_words, coverage, same_slots."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.split(canonical(F.col(item_text_col)), " ").alias("item")).where("item[0] <> ''")
-    starts = F.explode(F.sequence(F.lit(0), F.size("item") - window))
-    wins = items.where(F.size("item") >= window).select("item_id", "item", starts.alias("at"))
-    key = lambda words: F.xxhash64(F.concat_ws(" ", F.transform(words, _mark)))
-    wins = common.save(wins.withColumn("key", key(F.slice("item", F.col("at") + 1, window))), "windows")
+    length = F.least(F.size("item"), F.lit(window))
+    wins = items.select("item_id", "item", length.alias("words"), F.explode(F.sequence(F.lit(0), F.size("item") - length)).alias("at"))
+    key = F.xxhash64(F.concat_ws(" ", F.transform(F.slice("item", F.col("at") + 1, F.col("words")), _mark)))
+    # the template word before; a document's first word has "|" there
+    before = F.when(F.col("at") > 0, _mark(F.col("item")[F.greatest(F.col("at") - 1, F.lit(0))])).otherwise("")
+    wins = common.save(wins.withColumn("key", key).withColumn("before", before), "windows")
     windows = wins.count()
-    side = common.maybe_broadcast(wins, windows, 512)
+    short = sorted(r.words for r in wins.where(F.col("words") < window).select("words").distinct().collect())  # window - 1 values at most
+    wins = wins.drop("words")
 
     text = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon"))
-    # the words of every window-th place, as text: one pass of a pattern
-    found = F.regexp_extract_all(template(F.col("canon")), F.lit(rf"(?:\S+ ){{{window - 1}}}\S+"), F.lit(0))
-    spread = text.select("doc_id", "canon", F.posexplode(found).alias("nth", "part")).withColumn("key", F.xxhash64("part"))
+    # at every word, it and the window after it (shorter at the end) as text: one pass of a pattern
+    found = F.regexp_extract_all(F.concat(F.lit("| "), template(F.col("canon"))), F.lit(rf"(?=(\S+(?: \S+){{1,{window}}}))\S+ "), F.lit(1))
+    spread = text.select("doc_id", "canon", F.posexplode(found).alias("nth", "part"))
+    part = F.expr("substring(part, instr(part, ' ') + 1)")
+    keys = [F.xxhash64(part), *(F.xxhash64(F.substring_index(part, " ", n)) for n in short)]
+    spread = spread.withColumn("key", F.explode(F.array(*keys)) if short else keys[0])
+    first = F.substring_index("part", " ", 1) != F.col("before")
     if windows * 512 <= common.BROADCAST_BYTES:
-        hits = spread.join(side, "key")
-    else:  # only ids and hashes are shuffled to the windows; the texts of documents with a hit are joined back
-        met = spread.select("doc_id", "nth", "key").join(side, "key").withColumnRenamed("doc_id", "__id")
+        hits = spread.join(F.broadcast(wins), "key").where(first)
+    else:  # only ids and hashes are shuffled to the windows, if the keys are few only those of the benchmark; the texts of documents with a hit are joined back
+        if windows * 32 <= common.BROADCAST_BYTES:
+            spread = spread.join(F.broadcast(wins.select("key").distinct()), "key", "left_semi")
+        met = spread.select("doc_id", "nth", "key", F.substring_index("part", " ", 1).alias("part")).join(wins, "key").where(first).withColumnRenamed("doc_id", "__id")
         hits = text.join(met, text["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    hits = hits.withColumn("shift", F.col("nth") * window - F.col("at"))
+    hits = hits.withColumn("shift", F.col("nth") - F.col("at"))
 
     # What follows the join in its stage is the slice of words beside the item. Neither a filter on slots (it would be pushed
     # into the join) nor the text may cross the stage's end: rows are buffered there.
@@ -72,15 +82,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, min_cov
     lead = F.greatest(-F.col("shift"), F.lit(0))
     part = F.slice(F.split("canon", " "), F.col("shift") + lead + 1, n - lead)
     hits = hits.select("doc_id", "item_id", "shift", "item", lead.alias("lead"), part.alias("part"))
+    plain = (n >= window) | F.exists("item", lambda x: ~x.rlike("^[#@%]"))
     pairs = F.zip_with(F.slice("item", F.col("lead") + 1, F.size("part")), F.col("part"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = F.filter(pairs, lambda x: _mark(x["a"]) == _mark(x["b"]))
-    hits = hits.select("doc_id", "item_id", "shift", n.cast("long").alias("item_words"), pairs.alias("pairs"))
+    hits = hits.select("doc_id", "item_id", "shift", n.cast("long").alias("item_words"), plain.alias("plain"), pairs.alias("pairs"))
     slots = F.array_distinct(F.filter("pairs", lambda x: x["a"].rlike("^[#@]")))
-    hits = hits.select("doc_id", "item_id", "shift", "item_words", F.size("pairs").cast("long").alias("same_words"), slots.alias("slots"))
+    hits = hits.select("doc_id", "item_id", "shift", "item_words", "plain", F.size("pairs").cast("long").alias("same_words"), slots.alias("slots"))
     to = F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
     back = F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))
-    consistent = (to == F.size("slots")) & (back == F.size("slots"))
     same = ~F.exists("slots", lambda x: x["a"] != x["b"])
+    consistent = (to == F.size("slots")) & (back == F.size("slots")) & (F.col("plain") | same)
     rows = hits.select("doc_id", "item_id", "shift", F.when(consistent, F.col("same_words")).otherwise(0).alias("matched"), "item_words", (consistent & same).alias("same"))
     laid = rows.groupBy("doc_id", "item_id", "shift").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.max("same").alias("same")).where("matched > 0")
     both = laid.groupBy("doc_id", "item_id").agg(F.sum("matched").alias("total"), F.max("item_words").alias("item_words"), F.min("same").alias("same_slots"))

@@ -194,6 +194,19 @@ def test_contaminated_equals_brute_force(spark, data):
     assert got == want and got
 
 
+def test_contaminated_short_runs_at_every_place(spark, monkeypatch):
+    bench = ["why do some green birds sing at dawn", "where do quiet old rivers bend", "who invented paper", "Tom has 3 red apples. Tom buys 4 more. How many red apples does Tom have now?", "42"]
+    texts = [*bench[:3], bench[3].replace("Tom", "Ann").replace("3", "8").replace("4", "6"), "41"]
+    pad = lambda n: " ".join(f"filler{chr(97 + i)}" for i in range(n))
+    rows = [(i * 100 + n, f"{pad(n)} {t} {pad(9)}") for i, t in enumerate(texts) for n in range(7)] + [(900, texts[2]), (901, f"{pad(5)} {texts[2]}"), (902, "who invented"), (903, "it is 42 now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    want = sorted([(i * 100 + n, i) for i in range(4) for n in range(7)] + [(900, 2), (901, 2), (903, 4)])
+    for limit in (decontaminate.common.BROADCAST_BYTES, 4096, 0):
+        monkeypatch.setattr(decontaminate.common, "BROADCAST_BYTES", limit)
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()) == want
+
+
 # --- dialogues
 
 
