@@ -5,7 +5,7 @@ a type mark and their value: ``#12 %kg @alice``. The template keeps the marks al
 names has the same template. Windows of ``window`` template words are hashed, at every word of the
 benchmark and of the documents, so any shared run of ``window`` words meets; an item of fewer words is one window of its own length. Of the windows
 of one run only the first is followed up (the word before it differs). A hit fixes how the item lies over the document; there the templates are compared word by word over the whole item, and slots
-must be consistent: a value of the item stands for one value of the document wherever it occurs, and the other way round.
+must be consistent: a value of the item stands for one value of the document wherever it occurs (two of the item may become the same one).
 
 The benchmark side is broadcast only when its counted windows are small (``common.BROADCAST_BYTES``), then documents don't move at
 all; else hashed windows meet in a shuffled join and texts with hits follow by id. Verification runs in the scan's stage on the words at hand, and what
@@ -89,9 +89,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 6, min_cov
     slots = F.array_distinct(F.filter("pairs", lambda x: x["a"].rlike("^[#@]")))
     hits = hits.select("doc_id", "item_id", "shift", "item_words", "plain", F.size("pairs").cast("long").alias("same_words"), slots.alias("slots"))
     to = F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
-    back = F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))
     same = ~F.exists("slots", lambda x: x["a"] != x["b"])
-    consistent = (to == F.size("slots")) & (back == F.size("slots")) & (F.col("plain") | same)
+    consistent = (to == F.size("slots")) & (F.col("plain") | same)
     rows = hits.select("doc_id", "item_id", "shift", F.when(consistent, F.col("same_words")).otherwise(0).alias("matched"), "item_words", (consistent & same).alias("same"))
     laid = rows.groupBy("doc_id", "item_id", "shift").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.max("same").alias("same")).where("matched > 0")
     both = laid.groupBy("doc_id", "item_id").agg(F.sum("matched").alias("total"), F.max("item_words").alias("item_words"), F.min("same").alias("same_slots"))

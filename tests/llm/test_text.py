@@ -207,6 +207,13 @@ def test_contaminated_short_runs_at_every_place(spark, monkeypatch):
         assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()) == want
 
 
+def test_contaminated_two_values_become_one(spark):
+    item = "A shop had 3 loaves at dawn and baked 5 loaves more before noon, so how many loaves did it have at noon?"
+    rows = [(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("3", "4").replace("5", "6"))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.coverage, r.same_slots) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 1.0, False), (2, 1.0, False)}
+
+
 # --- dialogues
 
 
