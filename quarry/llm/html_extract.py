@@ -2,7 +2,9 @@
 
 The page becomes a light tree (tags, attributes, text in page order; missing end tags are inferred for paragraphs, items, cells and
 the like). Subtrees that can't be article text go first: scripts, styles, menus, headers, footers, sidebars, forms, notices,
-adverts, reader comments, told by tag, role or the words of class and id. Each paragraph then passes points (one, one for each
+adverts, reader comments, told by tag, role or the words of class and id. A name alone doesn't drop an element with another name that means
+article text ("content no-sidebar") or one around the page's ``main``. Nor does a compound name ("has-sidebar"; not "sidebar") drop an element around the
+page's only articles, or with most of its paragraph text and no other article or main beside it; their score decides, and those apart from the best container go. Each paragraph then passes points (one, one for each
 comma, one for each 100 characters up to three) to its ancestors: the parent in full, the grandparent half, further ones a
 third of that by level; points are discounted by the share of the container's text that is link text. The best
 container is kept, or the ``article`` or ``main`` element around it, and with it its sibling blocks that have text of their own
@@ -57,28 +59,32 @@ _BARRIER = {"table", "td", "th", "caption", "button", "object", "template", "htm
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "good", "score", "chars", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "good", "named", "spared", "score", "chars", "links")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.dropped = self.good = False
+        self.dropped = self.good = self.spared = False
+        self.named = 0
         self.score, self.chars, self.links = 0.0, 0, 0
 
 
-def _unwanted(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether a tag opens something that can't be article text, and whether it looks like an article."""
+def _unwanted(tag: str, attrs: str) -> tuple[bool, bool, int]:
+    """Whether a tag opens something that can't be article text, whether it looks like an article, and whether its name alone speaks against it (1: part of a name, 2: a whole one)."""
     if tag in DROP_TAGS:
-        return True, False
+        return True, False, 0
     if not attrs.strip() or tag in ("html", "body"):
-        return False, tag in ("article", "main")
+        return False, tag in ("article", "main"), 0
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     names = f"{got.get('class', '')} {got.get('id', '')}"
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I):
-        return True, False
+        return True, False, 0
     if got.get("role", "").lower() in DROP_ROLES:
-        return True, False
+        return True, False, 0
     good = tag in ("article", "main") or got.get("role", "").lower() in ("main", "article") or bool(_GOOD.search(names))
-    return tag not in ("article", "main") and bool(_BAD.search(names)), good
+    words = names.split()
+    if got.get("role", "").lower() in ("main", "article") or not any(_BAD.search(w) for w in words) or any(_GOOD.search(w) and not _BAD.search(w) for w in words):
+        return False, good, 0
+    return False, good, 2 if any(_BAD.fullmatch(w) for w in words) else 1
 
 
 def parse(page: str) -> Node:
@@ -134,7 +140,7 @@ def parse(page: str) -> Node:
             if found is not None:
                 top = found.parent
         node = Node(tag, top)
-        node.dropped, node.good = _unwanted(tag, m[3])
+        node.dropped, node.good, node.named = _unwanted(tag, m[3])
         top.children.append(node)
         if tag in VOID:
             continue
@@ -185,6 +191,54 @@ def _paragraphs(root: Node) -> list[Node]:
     return found
 
 
+def _settle(root: Node) -> None:
+    """Drops the elements whose name speaks against them, but for those that the page's text lies in."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if not n.dropped:
+            order.append(n)
+            stack += [c for c in n.children if not isinstance(c, str)]
+    suspects = [n for n in order if n.named and n.tag not in ("article", "main")]
+    if not suspects:
+        return
+    text, mains, articles = ({id(n): 0 for n in order} for _ in range(3))
+    told, within = {id(n) for n in _paragraphs(root)}, set()
+    for n in order:  # parents come first
+        up = n.parent
+        if id(up) in told:
+            told.add(id(n))
+        if up is not None and (id(up) in within or up.tag in ("article", "main")):
+            within.add(id(n))
+        text[id(n)] = sum(len(c.strip()) for c in n.children if isinstance(c, str)) if id(n) in told else 0
+        mains[id(n)], articles[id(n)] = int(n.tag == "main"), int(n.tag == "article" and not n.named)
+    for n in reversed(order):
+        if n.parent is not None:
+            for count in (text, mains, articles):
+                count[id(n.parent)] += count[id(n)]
+    top = id(root)
+    for n in suspects:
+        only = articles[id(n)] == articles[top] and not mains[top]
+        most = 2 * text[id(n)] > text[top] and (only or id(n) in within)
+        if not mains[id(n)]:
+            n.spared = n.named == 1 and (only and articles[id(n)] > 0 or most)
+            n.dropped = not n.spared
+
+
+def _part(root: Node, core: Node) -> None:
+    """Drops the spared elements that neither hold the best container nor lie in it."""
+    above, up = set(), core
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n is not core and not n.dropped:
+            n.dropped = n.spared and id(n) not in above
+            stack += [c for c in n.children if not isinstance(c, str)]
+
+
 def _density(n: Node) -> float:
     return n.links / n.chars if n.chars else 0.0
 
@@ -202,6 +256,7 @@ def _commas(n: Node) -> int:
 
 def choose(root: Node) -> list[Node]:
     """The nodes that make up the article, in page order."""
+    _settle(root)
     _measure(root)
     scored: dict[int, Node] = {}
     paragraphs = _paragraphs(root)
@@ -219,6 +274,7 @@ def choose(root: Node) -> list[Node]:
         for n in scored.values():
             n.score = n.chars
     best = max(scored.values(), key=lambda n: n.score * (1 - _density(n)) * (1.25 if n.good else 1))
+    _part(root, best)
     up = best
     while up is not None:
         if up.tag in ("article", "main"):

@@ -48,6 +48,19 @@ def test_extract_whole_of_long_and_deep_pages():
         html_extract.extract(junk)
 
 
+def test_extract_keeps_wrappers_with_unwanted_words():
+    text = "".join(f"<p>Paragraph {i} of the text, with commas, is long enough.</p>" for i in range(4))
+    want = " ".join(f"Paragraph {i} of the text, with commas, is long enough." for i in range(4))
+    aside = '<div class="sidebar"><p>Aside, aside.</p></div>'
+    for name in ("layout has-sidebar", "content no-sidebar", "post-content with-comments", "page header-fixed"):
+        for inner in (text, f"<article>{text}</article>", f"<main>{text}</main>", f'<div class="x">{text}</div>'):
+            assert html_extract.extract(f'<body><div class="{name}">{inner}{aside}</div><div class="foot"><p>Foot, foot.</p></div></body>') == want, (name, inner)
+    # what is named for what it is still goes, however long
+    reader = '<div class="comments">' + "<p>A reader says this, that, and more than the text does.</p>" * 9 + "</div>"
+    for page in (f"<div>{text}</div>{reader}", f"<article>{text}{reader}</article>", f'<article>{text}</article><div class="post-comments"><article class="comment"><p>{"Yes, yes. " * 99}</p></article></div>'):
+        assert html_extract.extract(f"<body>{page}</body>") == want
+
+
 def test_extract_generated_pages(spark, data):
     """Held against the pages' own structure: everything inside the article."""
     import html
