@@ -4,7 +4,8 @@ The network reads the bytes of a word between two blanks, forwards and backwards
 position with a probability for each language; a document's probabilities are the mean over all its
 positions. It is trained here in numpy by backpropagation through time (Adam) on a bounded sample:
 about ``MAX_DOCS`` documents a language, drawn by a hash of the id, and of their words ``MAX_WORDS``
-draws.
+draws. Every language found is learned; of more than 1,000 each has fewer documents in proportion, and more languages than
+``MAX_WORDS`` are an error.
 
 State starts anew at each word, so equal words have equal labels: a task runs the network once per different
 word and keeps the sums (``CACHE`` words at most, then it starts over). Words longer than ``PIECE`` bytes are read in
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import common
 from .toxicity import held_out
 
 MAX_DOCS, MAX_WORDS = 400, 60_000
@@ -224,11 +226,14 @@ def sample_words(texts: list[str], langs: list[str], most: int = MAX_WORDS, seed
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Learns from documents with a language whose crc32(id) mod 4 isn't 2."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("k")).where(F.col("k").isNotNull() & F.col("t").isNotNull() & ~held_out("i", 4, 2))
-    counts = {r["k"]: r["count"] for r in known.groupBy("k").count().orderBy(F.desc("count"), "k").limit(1000).collect()}
-    if not counts:
+    counts = common.save(known.groupBy("k").count(), "langs")
+    kinds = counts.count()
+    if not kinds:
         return None
-    rates = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, MAX_DOCS / n)))])
-    drawn = known.where(F.pmod(F.xxhash64("i", F.lit("train")), F.lit(1_000_000)) < rates[F.col("k")] * 1_000_000)
+    if kinds > MAX_WORDS:
+        raise ValueError(f"{kinds} languages, more than the {MAX_WORDS} words drawn for training")
+    most = min(MAX_DOCS, MAX_DOCS * 1000 / kinds)  # what the driver gets is bounded
+    drawn = known.join(common.maybe_broadcast(counts, kinds, 256), "k").where(F.pmod(F.xxhash64("i", F.lit("train")), F.lit(1_000_000)) < F.least(F.lit(1.0), most / F.col("count")) * 1_000_000)
     rows = drawn.toPandas().sort_values("i")
     return fit(*sample_words(rows["t"].tolist(), rows["k"].tolist()))
 

@@ -93,3 +93,9 @@ def test_features():
     assert len(toxicity.features(None)) == 0 and len(toxicity.features("")) == 0
     long = "abc def " * 100_000  # several pieces: no n-gram is lost or counted twice
     assert set(toxicity.features(long)) == set(toxicity.features("abc def " * 10))
+
+
+def test_language_id_learns_every_language(spark, monkeypatch):
+    docs = spark.range(5500).selectExpr("id AS doc_id", "concat('word', id) AS text", "concat('lang', id % 1100) AS lang")
+    monkeypatch.setattr(language_id, "fit", lambda words, langs: set(langs))
+    assert len(language_id.train(docs)) == 1100
