@@ -1,8 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, benchmark decontamination, mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's ``docs``.
-All but the last return the columns of ``docs``. Documents with a null doc_id can't be told apart by it: the near-duplicate and
-the decontamination stage keep them.
+All but the last return the columns of ``docs``. The decontamination stage goes by the text's SHA-256, not by
+doc_id. The near-duplicate stage goes by doc_id: it keeps rows with a null id, and where a doc_id repeats, all its rows go with one that is a near copy.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return common.drop_ids(docs, common.save(found.where("doc_id is not null").select("doc_id").distinct(), "leaks"))
+    keyed = docs.withColumn("__key", F.sha2("text", 256))
+    found = decontaminate.contaminated(keyed, common.table(spark, sf_dir, "benchmark"), id_col="__key")
+    leaks = common.save(found.where("doc_id is not null").select(F.col("doc_id").alias("__key")).distinct(), "leaks")
+    return common.drop_ids(keyed, leaks, "__key").drop("__key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

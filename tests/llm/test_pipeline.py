@@ -44,3 +44,12 @@ def test_null_ids_and_empty_tables(spark, data):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = common.save(stage(spark, out, data), "test")
         assert out.columns == docs.columns
+
+
+def test_decontamination_by_row(spark, data):
+    leak = common.table(spark, data, "benchmark").orderBy("item_id").first().text
+    rows = [(1, leak), (1, "clean text"), (None, leak), (None, "clean too"), (2, None), (3, f"before {leak} after"), (4, "clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_contaminated(spark, docs, data)
+    assert out.columns == docs.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, "clean text"), (None, "clean too"), (2, None), (4, "clean text")]))
