@@ -13,11 +13,14 @@ _own_dir: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -28,4 +31,16 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back: what comes before runs once, and isn't run again when an executor is lost."""
     path = f"{scratch_dir(df.sparkSession)}/quarry-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_quarry_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)
