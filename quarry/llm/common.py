@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import save, scratch_dir
+from ..storage import discard, save, scratch_dir
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "ascii_lower", "drop_ids", "maybe_broadcast", "save", "scratch_dir", "table"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "ascii_lower", "discard", "drop_ids", "maybe_broadcast", "save", "scratch_dir", "table"]
 
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: width stay below this.
 BROADCAST_BYTES = 32 << 20
 
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if it is provably small, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
