@@ -1,16 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word between two blanks, forwards and backwards, and labels every
-position with a probability for each language; a document's probabilities are the mean over all its
-positions. It is trained here in numpy by backpropagation through time (Adam) on a bounded sample:
-about ``MAX_DOCS`` documents a language, drawn by a hash of the id, and of their words ``MAX_WORDS``
-draws. Every language found is learned; of more than 1,000 each has fewer documents in proportion, and more languages than
-``MAX_WORDS`` are an error.
-
-State starts anew at each word, so equal words have equal labels: a task runs the network once per different
-word and keeps the sums (``CACHE`` words at most, then it starts over). Words longer than ``PIECE`` bytes are read in
-pieces. Every word with a letter counts, wherever it stands; the whole text is read. Prediction is one Arrow pass; rows
-aren't shuffled.
+The network reads the bytes of a text forwards and backwards, across words, and labels every position with a probability
+for each language; a document's probabilities are the mean over all its letters. It is trained here in numpy by
+backpropagation through time (Adam) on a bounded sample: of about ``MAX_DOCS`` documents a language, drawn by a hash of the id,
+up to ``PER_DOC`` stretches of ``STRETCH`` bytes each, ``MAX_STRETCHES`` in all and as many for each language. Every language found
+is learned; of more than 1,000 each has fewer documents in proportion, and more languages than ``MAX_STRETCHES`` are an error.
+
+Prediction reads the whole text. So that long texts don't make long chains of steps, it is read in windows of ``WINDOW`` bytes with
+``CONTEXT`` bytes on either side from which the states come in, running over words as they are; each position is labelled once. Text
+that ends within a window is followed by blanks. Prediction is one Arrow pass; rows aren't shuffled, and
+a text's result doesn't depend on the texts beside it (up to rounding).
 
 Defined results: a null text or one without letters gives ``und`` and score 0; ties go to the language that sorts first;
 without training rows everything is ``und`` with score 0; a null doc_id isn't held out; repeated rows get equal results; an
@@ -19,11 +18,14 @@ empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +33,31 @@ from ..shipping import ship
 from . import common
 from .toxicity import held_out
 
-MAX_DOCS, MAX_WORDS = 400, 60_000
-PIECE, CACHE, HIDDEN = 32, 400_000, 12
-_HAS_LETTER = np.zeros(256, bool)
-_HAS_LETTER[65:91] = _HAS_LETTER[97:123] = True
+MAX_DOCS, PER_DOC, MAX_STRETCHES, STRETCH = 400, 32, 12_000, 48
+WINDOW, CONTEXT, STEP, HIDDEN = 256, 32, 32, 12
+_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of letters: ASCII ones, and all of longer code points.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def has_letter(word: str) -> bool:
-    return any(c.isalpha() for c in word)
+def spelled(text: str) -> np.ndarray:
+    """The bytes of a text in lower case."""
+    return np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
 
 
-def pieces(word: str) -> list[bytes]:
-    """The bytes of a word between two blanks, in pieces; ASCII letters in lower case."""
-    b = b" " + word.encode("utf-8", "replace").lower() + b" "
-    return [b[i : i + PIECE] for i in range(0, len(b), PIECE)] if len(b) > PIECE else [b]
+def windows(raw: np.ndarray) -> list[np.ndarray]:
+    """Stretches of WINDOW bytes (the last one to the next multiple of STEP, filled up with blanks) with CONTEXT bytes on either side."""
+    full = len(raw) // WINDOW
+    rest = -(-(len(raw) - full * WINDOW) // STEP) * STEP
+    padded = np.full(CONTEXT + full * WINDOW + rest + CONTEXT, 32, np.uint8)
+    padded[CONTEXT : CONTEXT + len(raw)] = raw
+    out = [padded[at * WINDOW : (at + 1) * WINDOW + 2 * CONTEXT] for at in range(full)]
+    return [*out, padded[full * WINDOW :]] if rest else out
 
 
 @dataclass
@@ -83,12 +92,34 @@ class Network:
             state = states[t] = new
         return states, kept
 
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """The states of _run alone, in place."""
+        h, table, u, v = HIDDEN, self.params[f"x{d}"], self.params[f"u{d}"][:, : 2 * HIDDEN].copy(), self.params[f"u{d}"][:, 2 * HIDDEN :].copy()
+        state, states = np.zeros((x.shape[1], h), np.float32), np.empty((*x.shape, h), np.float32)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            a = table[x[t]]
+            zr = state @ u
+            zr += a[:, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            c = (zr[:, h:] * state) @ v
+            c += a[:, 2 * h :]
+            np.tanh(c, out=c)
+            c -= state
+            c *= zr[:, :h]
+            c += state
+            state = states[t] = c
+        return states
+
     def positions(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (T, n, languages) of every position of bytes (T, n)."""
-        both = np.concatenate([self._run(x, "f")[0], self._run(x, "b")[0]], 2)
-        y = both @ self.params["o"] + self.params["c"]
-        y = np.exp(y - y.max(2, keepdims=True))
-        return y / y.sum(2, keepdims=True)
+        y = self._states(x, "f") @ self.params["o"][:HIDDEN] + self._states(x, "b") @ self.params["o"][HIDDEN:] + self.params["c"]
+        y -= y.max(2, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(2, keepdims=True)
+        return y
 
     def gradients(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
@@ -108,6 +139,7 @@ class Network:
         dboth = dy @ p["o"].T
         for d, part in (("f", dboth[:, :, :h]), ("b", dboth[:, :, h:])):
             u, dstate = p[f"u{d}"], np.zeros((x.shape[1], h), np.float32)
+            steps, read = [], []
             for t, state, z, r, c in reversed(runs[d][1]):
                 dnew = dstate + part[t]
                 dz, dc = dnew * (c - state) * z * (1 - z), dnew * z * (1 - c * c)
@@ -117,21 +149,24 @@ class Network:
                 dstate = dnew * (1 - z) + drs * r + dzr @ u[:, : 2 * h].T
                 g[f"u{d}"][:, : 2 * h] += state.T @ dzr
                 g[f"u{d}"][:, 2 * h :] += (r * state).T @ dc
-                np.add.at(g[f"x{d}"], x[t], np.concatenate([dzr, dc], 1))
+                steps.append(np.concatenate([dzr, dc], 1))
+                read.append(x[t])
+            flat, at = np.concatenate(steps), np.concatenate(read)
+            for k in range(3 * h):
+                g[f"x{d}"][:, k] = np.bincount(at, flat[:, k], 256)
         return loss, g
 
 
-def fit(words: list[str], labels: list[str], epochs: int = 6, batch: int = 256, seed: int = 3) -> Network | None:
-    """Trains on (word, language) draws; None without any."""
+def fit(stretches: list[bytes], labels: list[str], epochs: int = 8, batch: int = 128, least_steps: int = 600, seed: int = 3) -> Network | None:
+    """Trains on (bytes, language) draws, ``epochs`` times or ``least_steps`` batches; None without any."""
     langs = sorted(set(labels))
     if not langs:
         return None
     net, rng = Network.new(langs, seed), np.random.default_rng(seed)
     number = {lang: i for i, lang in enumerate(langs)}
     by_length: dict[int, list[tuple[bytes, int]]] = {}
-    for w, lang in zip(words, labels):
-        for b in pieces(w):
-            by_length.setdefault(len(b), []).append((b, number[lang]))
+    for b, lang in zip(stretches, labels):
+        by_length.setdefault(len(b), []).append((b, number[lang]))
     batches = []
     for n, found in sorted(by_length.items()):
         x = np.frombuffer(b"".join(b for b, _ in found), np.uint8).reshape(-1, n)
@@ -140,6 +175,7 @@ def fit(words: list[str], labels: list[str], epochs: int = 6, batch: int = 256,
         batches += [(x[o].T.copy(), y[o]) for o in np.array_split(order, max(1, len(order) // batch))]
     m = {k: np.zeros_like(v) for k, v in net.params.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.params.items()}
+    epochs = max(epochs, -(-least_steps // len(batches)))
     step, total = 0, epochs * len(batches)
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
@@ -154,88 +190,93 @@ def fit(words: list[str], labels: list[str], epochs: int = 6, batch: int = 256,
 
 
 class Reader:
-    """Labels documents; remembers the label sums of words."""
-
-    def __init__(self, net: Network | None) -> None:
-        self.net = net
-        self._start()
-
-    def _start(self) -> None:
-        self._number: dict[str, int] = {}
-        self._sums = np.zeros((0, len(self.net.langs) if self.net else 1), np.float32)
-        self._sizes = np.zeros(0, np.int32)
-
-    def _learn(self, new: list[str]) -> None:
-        """Runs the network over new words; a word without letters has size 0."""
-        sums = np.zeros((len(new), self._sums.shape[1]), np.float32)
-        sizes = np.zeros(len(new), np.int32)
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(new):
-            if w.isalpha() or has_letter(w):
-                for b in pieces(w):
-                    by_length.setdefault(len(b), []).append((i, b))
-                    sizes[i] += len(b)
-        for n, found in by_length.items():
-            for at in range(0, len(found), 4096):
-                part = found[at : at + 4096]
-                x = np.frombuffer(b"".join(b for _, b in part), np.uint8).reshape(-1, n).T
-                np.add.at(sums, [i for i, _ in part], self.net.positions(x).sum(0))
-        self._sums, self._sizes = np.concatenate([self._sums, sums]), np.concatenate([self._sizes, sizes])
+    """Labels documents, some hundred windows at a time."""
+
+    def __init__(self, net: Network | None, most: int = 512) -> None:
+        self.net, self.most = net, most
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if self.net is None:
             return ["und"] * len(texts), [0.0] * len(texts)
+        sums, sizes = np.zeros((len(texts), len(self.net.langs))), np.zeros(len(texts))
+        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, text in enumerate(texts):
+            if text and _LETTER.search(text):
+                for w in windows(spelled(text)):
+                    found = waiting.setdefault(len(w), [])
+                    found.append((i, w))
+                    if len(found) == self.most:
+                        self._read(found, sums, sizes)
+                        found.clear()
+        for found in waiting.values():
+            if found:
+                self._read(found, sums, sizes)
         langs, scores = [], []
-        for at in range(0, len(texts), 64):
-            if len(self._number) > CACHE:
-                self._start()
-            known, new, rows = self._number, [], []
-            for text in texts[at : at + 64]:
-                words = (text or "").split()
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                rows.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-            self._learn(new)
-            for r in rows:
-                size = int(self._sizes[r].sum())
-                if not size:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                p = self._sums[r].sum(0, dtype=np.float64) / size
-                best = int(p.argmax())
-                langs.append(self.net.langs[best])
-                scores.append(float(min(1.0, p[best])))
+        for total, size in zip(sums, sizes):
+            best = int(total.argmax()) if size else 0
+            langs.append(self.net.langs[best] if size else "und")
+            scores.append(float(min(1.0, total[best] / size)) if size else 0.0)
         return langs, scores
 
+    def _read(self, found: list[tuple[int, np.ndarray]], sums: np.ndarray, sizes: np.ndarray) -> None:
+        x = np.stack([w for _, w in found]).T
+        inner = slice(CONTEXT, len(x) - CONTEXT)
+        letters = _LETTERS[x[inner]]
+        p = np.einsum("tnk,tn->nk", self.net.positions(x)[inner], letters, dtype=np.float64)
+        owner = [i for i, _ in found]
+        np.add.at(sums, owner, p)
+        np.add.at(sizes, owner, letters.sum(0))
 
-def sample_words(texts: list[str], langs: list[str], most: int = MAX_WORDS, seed: int = 3) -> tuple[list[str], list[str]]:
-    """``most`` draws of words with letters, as many for each language."""
-    rng, words, out = np.random.default_rng(seed), [], []
-    kinds = sorted(set(langs))
-    for kind in kinds:
-        pool = [w for t, k in zip(texts, langs) if k == kind for w in t.split() if has_letter(w)]
-        take = min(len(pool), most // len(kinds))
-        words += [pool[i] for i in rng.choice(len(pool), take, replace=False)] if take else []
-        out += [kind] * take
-    return words, out
 
+def stretches(text: str | None, most: int = PER_DOC) -> list[bytes]:
+    """Up to ``most`` stretches of a text between blanks, at places drawn by its checksum, a quarter of them over its ends; those with letters."""
+    raw = spelled(text or "").tobytes()
+    rng = np.random.default_rng(zlib.crc32(raw))
+    count = min(most, 2 + len(raw) // STRETCH)
+    ends = -(-count // 4)
+    raw = b" " * CONTEXT + raw + b" " * max(CONTEXT, STRETCH - len(raw))
+    last = len(raw) - STRETCH
+    places = np.concatenate([rng.integers(0, min(CONTEXT, last) + 1, ends), rng.integers(max(0, last - CONTEXT), last + 1, ends), rng.integers(0, last + 1, max(0, count - 2 * ends))])
+    found = [raw[at : at + STRETCH] for at in places[:count]]
+    return [b for b in found if _LETTERS[np.frombuffer(b, np.uint8)].any()]
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+
+def sample_words(texts: list[str], langs: list[str]) -> tuple[list[bytes], list[str]]:
+    """Stretches of the texts and their languages."""
+    found = [(b, k) for t, k in zip(texts, langs) for b in stretches(t)]
+    return [b for b, _ in found], [k for _, k in found]
+
+
+def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = sample_words(batch.column(1).to_pylist(), batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(found[1], pa.string()), pa.array(found[0], pa.binary())], names=["k", "b"])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 3) -> Network | None:
     """Learns from documents with a language whose crc32(id) mod 4 isn't 2."""
-    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("k")).where(F.col("k").isNotNull() & F.col("t").isNotNull() & ~held_out("i", 4, 2))
+    ship(docs.sparkSession)
+    known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("k")).where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("i").isNotNull() & ~held_out("i", 4, 2))
     counts = common.save(known.groupBy("k").count(), "langs")
     kinds = counts.count()
     if not kinds:
         return None
-    if kinds > MAX_WORDS:
-        raise ValueError(f"{kinds} languages, more than the {MAX_WORDS} words drawn for training")
-    most = min(MAX_DOCS, MAX_DOCS * 1000 / kinds)  # what the driver gets is bounded
+    if kinds > MAX_STRETCHES:
+        raise ValueError(f"{kinds} languages, more than the {MAX_STRETCHES} stretches drawn for training")
+    most = min(MAX_DOCS, MAX_DOCS * 1000 / kinds, MAX_STRETCHES / kinds)  # what the driver gets is bounded
     drawn = known.join(common.maybe_broadcast(counts, kinds, 256), "k").where(F.pmod(F.xxhash64("i", F.lit("train")), F.lit(1_000_000)) < F.least(F.lit(1.0), most / F.col("count")) * 1_000_000)
-    rows = drawn.toPandas().sort_values("i")
-    return fit(*sample_words(rows["t"].tolist(), rows["k"].tolist()))
+    rows = drawn.select("k", "t").mapInArrow(_stretched, "k string, b binary").toArrow()
+    pool: dict[str, list[bytes]] = {}
+    for k, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        pool.setdefault(k, []).append(b)
+    rng, found, labels = np.random.default_rng(seed), [], []
+    for k in sorted(pool):
+        whole = sorted(pool[k])
+        take = min(len(whole), MAX_STRETCHES // kinds)
+        found += [whole[i] for i in sorted(rng.choice(len(whole), take, replace=False))]
+        labels += [k] * take
+    common.discard(counts)
+    return fit(found, labels)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

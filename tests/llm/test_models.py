@@ -99,3 +99,48 @@ def test_language_id_learns_every_language(spark, monkeypatch):
     docs = spark.range(5500).selectExpr("id AS doc_id", "concat('word', id) AS text", "concat('lang', id % 1100) AS lang")
     monkeypatch.setattr(language_id, "fit", lambda words, langs: set(langs))
     assert len(language_id.train(docs)) == 1100
+
+
+def test_log_count_ratios_equal_brute_force():
+    texts, toxic = ["you fool", "a calm day", "fool fool", "day é", None, "calm"], np.array([1.0, 0, 1, 0, 1, 0])
+    ratio, seen = toxicity.log_count_ratios([toxicity.features(t) for t in texts], toxic)
+
+    def grams(t):
+        t = f" {(t or '').lower()} "
+        return {t[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
+
+    def place(g):  # of a gram alone: the hash of its code points
+        return next(int(p[1]) for p, n in zip(toxicity.places(g), toxicity.GRAMS) if n == len(g))
+
+    for g in set().union(*map(grams, texts)):
+        has = [g in grams(t) for t in texts]
+        p, q = (sum(h and y == k for h, y in zip(has, toxic)) + 1 for k in (1, 0))
+        assert seen[place(g)] == sum(has) and abs(ratio[place(g)] - np.log(p / q)) < 1e-9
+    assert seen.sum() == sum(len(grams(t)) for t in texts)
+
+
+def test_windows_label_each_byte_once():
+    for n in (0, 1, 31, 32, 33, 255, 256, 257, 1000):
+        raw = np.arange(n, dtype=np.int64).astype(np.uint8)
+        inner = [w[language_id.CONTEXT : -language_id.CONTEXT] for w in language_id.windows(raw)]
+        joined = np.concatenate(inner) if inner else np.zeros(0, np.uint8)
+        assert (joined[:n] == raw).all() and (joined[n:] == 32).all() and len(joined) - n < language_id.STEP
+    words = "the and of the thing " * 60  # the context runs over words and window ends
+    for a, b in zip(language_id.windows(language_id.spelled(words)), language_id.windows(language_id.spelled(words))[1:]):
+        assert (a[-2 * language_id.CONTEXT :] == b[: 2 * language_id.CONTEXT]).all()
+
+
+def test_models_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert language_id.train(docs) is None and language_id.identify(docs, None).count() == 0
+    assert toxicity.toxicity(docs, marks).count() == 0
+
+
+def test_toxicity_sample_is_bounded_and_settled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 90, f"text {i} {'scum' if i % 90 % 3 == 0 else 'fine'}") for i in range(180)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    one, two = toxicity.train(docs, marks), toxicity.train(docs.orderBy("text").repartition(3), marks)
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+    monkeypatch.setattr(toxicity, "MAX_PLACES", 400)
+    assert not np.array_equal(toxicity.train(docs, marks).weights, one.weights)
