@@ -5,20 +5,22 @@ H = (|A| + |B|) / 9 shingles. The method, on classes of documents with equal set
 
 1. Profile. One pass over the texts gives each document its set size, a 128-bit hash of the set (its class) and a histogram of
    the set, and counts all shingles in a fixed-size sketch, whose heavy places are kept.
-2. Signatures. Sets fall into size bands (powers of two). A band cuts the universe of shingles into m segments by hash. As Sum |A_i ^ B_i| <= H,
-   units of allocation above H suffice: a segment taken exactly (equal subsets) is one unit, with its
-   one-deletion neighbourhood (subsets one shingle apart) two, skipped none. For each band the
-   cheaper of two allocations, by signatures emitted and false partners expected from the sketch, is used:
-   * exact segments, where a set skips its costliest ones and indexes H + 1. Cost is the count of a segment's rarest shingle,
-     so empty segments and passages that many documents share are skipped first. Cost and order depend on the subset alone; of the m - H
-     subsets at least that a linked pair has in common the cheapest is therefore indexed by both.
-   * few larger segments, each with all one-deletion variants.
+2. Signatures. Sets fall into size bands (powers of two). A band cuts the universe of shingles into segments by hash. Linked sets
+   have Sum |A_i ^ B_i| <= H over the segments, so segments whose allocation comes to more than H units suffice: a segment taken exactly
+   (equal subsets) is one unit, with its one-deletion neighbourhood (subsets one shingle apart) two, skipped none.
+   Each band has ``deletions`` segments of two units, twice as wide as the others, which are taken always, and exact ones, of which a
+   set skips its costliest and indexes as many as the units left ask for. Cost is the count of a subset's rarest shingle, so empty segments
+   and passages that many documents share are skipped first. Cost and order depend on the subset alone: if no wide segment
+   matches, a linked pair differs in at most H - 2 * deletions exact ones, and the cheapest that it has in common is indexed by both.
+   The numbers of either kind are the cheapest of a range of mixes, by signatures emitted and false partners expected from the sketch.
    A set also indexes under the band below where a smaller partner may lie there.
-3. Groups. Classes on one key form a group; equal groups are taken once. In each group all members are held against its hub,
+3. Groups. Classes on one key form a group; equal groups are taken once. Keys of subsets that are common by the sketch are dealt by
+   key and class, so none gathers in one task. In each group all members are held against its hub,
    the member with the most shared keys: what sizes and histograms allow (|h(A) - h(B)|_1 <= H) is verified exactly. Links so far give components; only groups that still lie in several
-   components go on, and of these only possible pairs across components
-   are verified. So no link between components is lost, and groups aren't expanded into all pairs.
-4. Components by alternating star contraction, as tables; nothing is collected.
+   components go on: cut into blocks of some hundred members, whose pairs are dealt over tasks, and of these only possible pairs across
+   components are verified. So no link between components is lost, and groups aren't expanded into all pairs.
+4. Components by alternating star contraction, as tables; nothing is collected. Which texts are needed for verification is told to tasks by a bitmap of fixed size,
+   the join selects exactly.
 
 Verification compares the whole sets of 64-bit shingle hashes. Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became lower case.
 
@@ -35,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,11 @@ from .components import components
 WIDTH = 5
 SKETCH_BITS, HEAVY = 20, 1 << 16
 BINS = 256
-#: Classes whose ids are sent to tasks as a filter, at most; beyond, the join alone selects.
-MAX_FILTER = 4_000_000
+#: Bits of the bitmap that tells tasks which sets are wanted.
+FILTER_BITS = 25
+#: Members of a block of a group; rows of one key from which it is dealt by class too; partners of a hub that share a copy of its set.
+BLOCK, HOT, PARTNERS = 1024, 100_000, 4096
+_NEVER = 1 << 40
 _SLICE = 1 << 20
 
 _U = np.uint64
@@ -163,67 +169,95 @@ def bound(n: int) -> int:
 
 @dataclass(frozen=True)
 class Band:
+    """``segments`` of a size band, the first ``deletions`` of them with one-deletion neighbourhoods (True: all)."""
+
     segments: int
-    deletions: bool
+    deletions: int
 
+    def __post_init__(self) -> None:
+        if self.deletions is True:
+            object.__setattr__(self, "deletions", self.segments)
+
+
+def _excess(n: int, p: float, skip: int) -> float:
+    """About how many of n segments are crowded, each with probability p, beyond those that may be skipped."""
+    mean, spread = n * p, math.sqrt(max(n * p * (1 - p), 1e-12))
+    z = (mean - skip) / spread
+    return spread * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) + (mean - skip) * 0.5 * math.erfc(-z / math.sqrt(2)) if z > -8 else 0.0
+
+
+def cost(band: Band, typical: float, units: int, rare: float, crowd: float) -> float:
+    """Signatures that a set of ``typical`` members emits, and the false partners they cost: ``crowd`` a key without a rare shingle."""
+    wide, exact = band.deletions, band.segments - band.deletions
+    members = typical / (exact + 2 * wide)
+    left = max(0, units - 2 * wide)
+    wrong = _excess(exact, math.exp(-rare * members), exact - left) if left else 0.0
+    # Variants of a subset without rare shingles have the same partners, a group that is taken once; of one with a single rare
+    # shingle one variant is crowded. A single segment is the whole set: sets on one variant of it differ in two shingles at most.
+    if wide and band.segments > 1:
+        m = 2 * members * rare
+        wrong += wide * math.exp(-m) * (1 + m)
+    return wide * (1 + 2 * members) + left + crowd * wrong
 
-def bands(counts: dict[int, tuple[int, int]], heavy: int, common_share: float) -> dict[int, Band]:
-    """The cheaper allocation of each size band. ``counts``: classes and shingles by band; ``heavy``: shingle occurrences in heavy
-    places of the sketch; ``common_share``: share of the classes that hold a common shingle.
 
-    A segment has about ``members`` shingles; one of common shingles only has false partners, unless it is skipped."""
+def bands(counts: dict[int, tuple[int, int]], heavy: int, common_share: float) -> dict[int, Band]:
+    """The cheapest allocation of each size band. ``counts``: classes and shingles by band; ``heavy``: shingle occurrences in heavy
+    places of the sketch; ``common_share``: share of the classes that hold a common shingle."""
     out = {}
-    classes, shingles = (sum(x) for x in zip(*counts.values())) if counts else (0, 0)
+    classes = sum(n for n, _ in counts.values())
     for k, (n, size) in counts.items():
-        top = (1 << (k + 1)) - 1
-        typical = size / n
+        top, typical = (1 << (k + 1)) - 1, size / n
         # passages are as long in short sets as in long ones
-        rare = 1 - min(0.9, heavy / max(1, shingles) * shingles / classes / typical)
-        exact, few = top // 3 + 2, max(1, -(-(bound(top) + 1) // 2))
-        need = bound(int(typical)) + 1
-        crowd = 4 * n * common_share
-
-        def alone(members: float, rare: float = rare) -> float:
-            return math.exp(-rare * max(0.0, members))
-
-        by_exact = need + crowd * max(0.0, exact * alone(typical / exact) - (exact - need))
-        # a single segment is the whole set: sets on one variant of it differ in two shingles at most
-        wrong = few * alone(typical / few) + typical * alone(typical / few - 1) if few > 1 else 0
-        by_deletion = few + typical + crowd * wrong
-        out[k] = Band(few, True) if by_deletion < by_exact else Band(exact, False)
+        rare = 1 - min(0.9, heavy / classes / typical)
+        most, units = bound(top) + 1, bound(int(typical)) + 1
+        wide = sorted({0, *(most * i // 16 for i in range(1, 8)), -(-most // 2)})
+        plans = [Band(d + max(0, width - 2 * d), d) for d in wide for width in (most, top // 3 + 2, top // 2 + 1) if width >= most]
+        plans.append(Band(-(-most // 2), True))
+        out[k] = min(plans, key=lambda b: (round(cost(b, typical, units, rare, 4 * n * common_share), 1), b.deletions, b.segments))
     return out
 
 
-def signatures(s: np.ndarray, plan: dict[int, Band], heavy: np.ndarray) -> list[np.ndarray]:
-    """The keys that a set indexes, for its band and perhaps the one below."""
-    n, out = len(s), []
+def signatures(s: np.ndarray, plan: dict[int, Band], heavy: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The keys that a set indexes, for its band and perhaps the one below, and which of them are common by the sketch."""
+    n, out, hot = len(s), [], []
     if n < 4:  # links to equal sets only
-        return out
+        return out, hot
     own = n.bit_length() - 1
     below = (1 << own) - 1
     todo = [(own, bound(n) + 1)]
     if below >= 4 and 4 * n <= 5 * below:
-        todo.append((own - 1, 2 * n // 9 + 1))
+        todo.append((own - 1, (n + below) // 9 + 1))
     value = mix(s ^ _U(0x5E65ED))
+    weigh = heavy[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
     for k, need in todo:
         band = plan.get(k)
         if band is None:  # nothing of that size
             continue
-        m = band.segments
-        seg = ((mix(s + _U(977 * k)) >> _U(32)) % _U(m)).astype(np.int64)
+        m, wide = band.segments, band.deletions
+        seg = ((mix(s + _U(977 * k)) >> _U(32)) % _U(m + wide)).astype(np.int64)
+        seg = np.where(seg < 2 * wide, seg >> 1, seg - wide)
         full = np.zeros(m, _U)
         np.add.at(full, seg, value)
+        rarest = np.full(m, _NEVER, np.int64)
+        np.minimum.at(rarest, seg, weigh)
         tag = mix(np.arange(m, dtype=_U) + _U(k * 1_000_003))
-        if band.deletions:
-            out.append(mix(np.concatenate([full + tag, full[seg] - value + tag[seg]])))
-            continue
-        cost = np.full(m, 1 << 40, np.int64)
-        np.minimum.at(cost, seg, heavy[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)])
-        keys = mix(full + tag)
-        if need < m:
-            keys = keys[np.lexsort((keys, cost))[:need]]
-        out.append(keys)
-    return out
+        if wide:
+            inside = np.flatnonzero(seg < wide)
+            inside = inside[np.lexsort((weigh[inside], seg[inside]))]
+            at, w = seg[inside], weigh[inside]
+            first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+            follows = np.concatenate([np.where(first[1:], _NEVER, w[1:]), [_NEVER]])[: len(at)]
+            out.append(mix(np.concatenate([full[:wide] + tag[:wide], full[at] - value[inside] + tag[at]])))
+            hot.append(np.concatenate([rarest[:wide], np.where(first, follows, rarest[at])]) >= HOT)
+        need -= 2 * wide
+        if need > 0:
+            keys, price = mix(full[wide:] + tag[wide:]), rarest[wide:]
+            if need < len(keys):
+                cheap = np.lexsort((keys, price))[:need]
+                keys, price = keys[cheap], price[cheap]
+            out.append(keys)
+            hot.append(price >= HOT)
+    return out, hot
 
 
 _PROFILE = "doc_id long, n long, c long, c2 long, bins binary"
@@ -256,29 +290,35 @@ def _profile(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(f), -1)), pa.array(f), pa.array(counts[f]), pa.nulls(len(f), pa.binary())], schema=_PROFILE_SCHEMA)
 
 
-def _index(batches: Iterator[pa.RecordBatch], seed: int, plan: dict[int, Band], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+_INDEX = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
+
+
+def _index(batches: Iterator[pa.RecordBatch], seed: int, plan: dict[int, Band], places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    heavy = np.zeros(1 << SKETCH_BITS, np.int64)
+    heavy[places] = counts
     seen: set[int] = set()
     for batch in batches:
-        keys, owners, size = [], [], 0
+        keys, owners, hot, size = [], [], [], 0
 
-        def packed(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners))], schema=_PAIR)
+        def packed(keys: list[np.ndarray], owners: list[np.ndarray], hot: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(hot))], schema=_INDEX)
 
         for s in shingle_sets(batch.column(0).to_pylist()):
             c, _ = class_of(s, seed)
             if c in seen:
                 continue
-            if len(seen) < 500_000:
+            if len(seen) < 500_000:  # a class that is forgotten is indexed again
                 seen.add(c)
-            for k in signatures(s, plan, heavy):
+            for k, often in zip(*signatures(s, plan, heavy)):
                 keys.append(k)
                 owners.append(np.full(len(k), c, np.int64))
+                hot.append(often)
                 size += len(k)
             if size >= 100_000:
-                yield packed(keys, owners)
-                keys, owners, size = [], [], 0
+                yield packed(keys, owners, hot)
+                keys, owners, hot, size = [], [], [], 0
         if keys:
-            yield packed(keys, owners)
+            yield packed(keys, owners, hot)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
@@ -305,9 +345,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, class) rows of the keys with several classes; rows come sorted by key. Groups are named by their members."""
+    """(group, class) rows of the keys with several classes; rows (key, class, hot) come sorted by key. Groups are named by their members,
+    those of hot keys, of which a task sees a part, by the key."""
     done: set[int] = set()
-    for starts, (_, column) in _runs(batches):
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            often = batch.column(2)
+            if pc.any(often).as_py():
+                passed.append(batch.filter(often).select([0, 1]).cast(_PAIR))
+                batch = batch.filter(pc.invert(often))
+            yield batch
+
+    passed: list[pa.RecordBatch] = []
+    for starts, (_, column, _) in _runs(whole(batches)):
+        yield from passed
+        passed.clear()
         owner = column.to_numpy()
         ends = np.concatenate([starts[1:], [len(owner)]])
         many = ends - starts > 1
@@ -329,10 +382,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b, size = [], [], 0
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=_PAIR)
+    yield from passed
 
 
-def _sets(batches: Iterator[pa.RecordBatch], seed: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(class, set) of the classes that are wanted, each once a task if it can be helped."""
+def _sets(batches: Iterator[pa.RecordBatch], seed: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(class, set) of the classes that may be wanted, each once a task if it can be helped."""
     seen: set[int] = set()
     schema = pa.schema([("c", pa.int64()), ("s", pa.binary())])
     for batch in batches:
@@ -341,10 +395,9 @@ def _sets(batches: Iterator[pa.RecordBatch], seed: int, wanted: np.ndarray | Non
             k, _ = class_of(one, seed)
             if k in seen:
                 continue
-            if wanted is not None:
-                at = int(np.searchsorted(wanted, k))
-                if at == len(wanted) or wanted[at] != k:
-                    continue
+            at = k & ((1 << FILTER_BITS) - 1)
+            if not (int(wanted[at >> 6]) >> (at & 63)) & 1:
+                continue
             if len(seen) < 500_000:
                 seen.add(k)
             c.append(k)
@@ -398,20 +451,20 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs in different components of a group whose sizes and histograms allow a link; rows (group, class, component, n, bins)."""
+    """Pairs of different components whose sizes and histograms allow a link; rows (pair of blocks, class, component, n, bins, which block: 0 for a block with itself)."""
     for starts, columns in _runs(batches):
-        c, comp, n = (columns[i].to_numpy() for i in (1, 2, 3))
+        c, comp, n, side = (columns[i].to_numpy() for i in (1, 2, 3, 5))
         bins = columns[4].to_pylist()
         a, b = [], []
         for lo, hi in zip(starts, [*starts[1:], len(c)]):
             order = lo + np.argsort(n[lo:hi], kind="stable")
-            gn, gc, gk = n[order], c[order], comp[order]
+            gn, gc, gk, gs = n[order], c[order], comp[order], side[order]
             gb = [np.frombuffer(bins[i], np.uint8) for i in order]
             last = np.searchsorted(gn, 5 * gn // 4, "right")
             size, folded = 0, np.zeros((0, 0), np.int16)
             for i in range(hi - lo):
                 js = np.arange(i + 1, last[i])
-                js = js[gk[js] != gk[i]]
+                js = js[(gk[js] != gk[i]) & ((gs[js] != gs[i]) | (gs[i] == 0))]
                 if not len(js):
                     continue
                 if len(gb[i]) != size:  # sizes ascend, and with them the bins
@@ -429,20 +482,44 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
 
 
+def across(groups: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The possible pairs (a < b) across components of the groups that lie in several.
+
+    Groups are cut into blocks by a hash of the class, and each pair of blocks is a task's work of its own."""
+    placed = groups.join(found.select(F.col("v").alias("c"), "root"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("k"))
+    open_ = placed.groupBy("g").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2")
+    open_ = open_.select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("c"), F.col("cuts")).cast("int")
+    left = placed.join(open_, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    block = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    left = left.select(block.alias("g"), "c", "k", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"))
+    left = left.join(classes.select("c", "n", "bins"), "c").select("g", "c", "k", "n", "bins", "side")
+    return left.repartition("g").sortWithinPartitions("g").mapInArrow(_across, "a long, b long").distinct()
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS places, those of the ids ``c`` set; of a fixed size whatever their number."""
+    at = F.col("c").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = ids.select(F.shiftright(at, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bits"))
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint64)
+    return out
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, seed: int, tag: str) -> DataFrame:
     """The linked ones of different pairs (a, b) of classes."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    n = wanted.count()
-    only = np.sort(wanted.toArrow().column(0).to_numpy()) if n <= MAX_FILTER else None
-    shared = docs.sparkSession.sparkContext.broadcast(only)
-    sets = docs.select("text").mapInArrow(lambda it: _sets(it, seed, shared.value), "c long, s binary")
-    # The hub's set goes once to each salt, every partner's set to its hub.
-    salt = F.pmod(F.col("b"), F.lit(64))
-    routes = pairs.select("a", "b", salt.alias("salt"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
+    sets = docs.select("text").mapInArrow(lambda it: _sets(it, seed, shared.value), "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
+    # The hub's set goes once to each of its salts, every partner's set to its hub.
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
+    routes = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     routes = routes.unionByName(routes.select("a", F.col("a").alias("b"), "salt").distinct())
     rows = routes.join(sets, routes["b"] == sets["c"]).select("a", "b", "s", "salt")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", (F.col("a") != F.col("b")))
-    return common.save(rows.select("a", "b", "s").mapInArrow(_compare, "a long, b long").distinct(), tag)
+    out = common.save(rows.select("a", "b", "s").mapInArrow(_compare, "a long, b long").distinct(), tag)
+    shared.destroy()
+    return out
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -454,42 +531,49 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         made = common.save(docs.mapInArrow(lambda it, k=attempt: _profile(it, k), _PROFILE), "profile")
         rows = made.where("n >= 0")
         classes = common.save(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("c2").alias("low"), F.max("c2").alias("high")), "classes")
-        if classes.where("low <> high").isEmpty():  # else two sets share a name: other hashes
+        if classes.where("low <> high").isEmpty():
             break
+        common.discard(made, classes)  # two sets share a name: other hashes
+    else:
+        raise RuntimeError("different sets shared a 64-bit name under eight seeds")
     seed = attempt
 
     sketch = made.where("n = -1").groupBy("c").agg(F.sum("c2").alias("k")).orderBy(F.desc("k"), "c").limit(HEAVY).toArrow()
-    heavy = np.zeros(1 << SKETCH_BITS, np.int64)
-    heavy[sketch.column(0).to_numpy()] = sketch.column(1).to_numpy()
+    places, often = sketch.column(0).to_numpy(), sketch.column(1).to_numpy()
     sizes = classes.where("n >= 4").groupBy((F.length(F.bin("n")) - 1).alias("k")).agg(F.count("*"), F.sum("n")).collect()
     counts = {k: (n, size) for k, n, size in sizes}
     total = sum(n for n, _ in counts.values())
-    share = float(np.sort(heavy)[-100:].mean()) / max(1, total)
-    plan = bands(counts, int(heavy.sum()), min(1.0, share))
+    share = float(often[:100].sum() / 100) / max(1, total)
+    plan = bands(counts, int(often.sum()), min(1.0, share))
 
-    tools = spark.sparkContext.broadcast((plan, heavy))
-    index = docs.select("text").mapInArrow(lambda it: _index(it, seed, *tools.value), "a long, b long")
-    sorted_ = index.repartition("a").sortWithinPartitions("a")
+    tools = spark.sparkContext.broadcast((plan, places, often))
+    index = docs.select("text").mapInArrow(lambda it: _index(it, seed, *tools.value), "a long, b long, hot boolean")
+    # a common key is dealt by class too
+    sorted_ = index.repartition(F.when(F.col("hot"), F.xxhash64("a", "b")).otherwise(F.col("a"))).sortWithinPartitions("a")
     groups = common.save(sorted_.mapInArrow(_groups, "a long, b long").distinct().toDF("g", "c"), "groups")
+    tools.destroy()
 
     # Every member against its group's hub.
     degree = groups.groupBy("c").agg(F.count("*").alias("d"))
     ranked = groups.join(degree, "c")
     hub = ranked.groupBy("g").agg(F.max(F.struct("d", "c")).alias("hub")).select("g", F.col("hub.c").alias("a"))
     star = common.save(groups.join(hub, "g").where("c <> a").select("a", F.col("c").alias("b")).distinct(), "star")
-    links = _verify(docs, common.save(possible(star, classes), "possible"), seed, "links")
+    near = common.save(possible(star, classes), "possible")
+    links = _verify(docs, near, seed, "links")
+    common.discard(near)
     found = components(links)
 
     # What still lies in several components.
-    placed = groups.join(found.select(F.col("v").alias("c"), "root"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("k"))
-    open_ = placed.groupBy("g").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("g")
-    left = placed.join(open_, "g").join(classes.select("c", "n", "bins"), "c").select("g", "c", "k", "n", "bins")
-    across = left.repartition("g").sortWithinPartitions("g").mapInArrow(_across, "a long, b long").distinct()
-    across = across.join(star, ((across["a"] == star["a"]) & (across["b"] == star["b"])), "left_anti")
-    across = across.join(star, ((across["a"] == star["b"]) & (across["b"] == star["a"])), "left_anti")
-    across = common.save(across, "across")
-    if not across.isEmpty():
-        found = components(links.unionByName(_verify(docs, across, seed, "more")))
+    more = across(groups, found, classes)
+    for x, y in (("a", "b"), ("b", "a")):
+        more = more.join(star, (more["a"] == star[x]) & (more["b"] == star[y]), "left_anti")
+    more = common.save(more, "across")
+    common.discard(groups, star)
+    if not more.isEmpty():
+        extra = _verify(docs, more, seed, "more")
+        found = components(links.unionByName(extra))
+        common.discard(extra)
+    common.discard(more, links)
 
     named = classes.join(found.select(F.col("v").alias("c"), "root"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -157,3 +157,55 @@ def test_components(spark, edges):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert all(got.get(v, v) == root for v, root in want.items())
+
+
+def test_bands_mix_allocations():
+    """Where most shingles are common, some segments of larger bands take their one-deletion neighbourhoods; every plan has units enough."""
+    for rare in (0.9, 0.5, 0.2):
+        for k, typical in ((2, 5), (3, 11), (4, 22), (6, 90), (8, 300), (11, 3000)):
+            n = 1_000_000
+            band = ngram_join.bands({k: (n, n * typical)}, int(n * typical * (1 - rare)), 0.1)[k]
+            assert band.segments + band.deletions >= ngram_join.bound((2 << k) - 1) + 1
+    for k, typical in ((4, 20), (6, 90), (8, 330)):
+        mixed = ngram_join.bands({k: (10**6, typical * 10**6)}, int(0.85 * typical * 10**6), 0.1)[k]
+        assert 0 < mixed.deletions < mixed.segments
+
+
+@pytest.mark.parametrize("part", [0.25, 0.5])
+def test_ngram_join_with_mixed_allocations(spark, monkeypatch, part):
+    """A part of the units in one-deletion neighbourhoods, the rest exact; small blocks, every key dealt by class, several copies of a hub's set."""
+
+    def plan(counts, heavy, share):
+        units = {k: ngram_join.bound((2 << k) - 1) + 1 for k in counts}
+        return {k: ngram_join.Band(n + 1 - int(n * part), max(1, int(n * part))) if n > 2 else ngram_join.Band(1, True) for k, n in units.items()}
+
+    monkeypatch.setattr(ngram_join, "bands", plan)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 3)
+    rows = corpus(int(part * 100))
+    want = brute(rows)
+    for hot in (1, 3, ngram_join.HOT):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, rows)).collect()}
+        assert got == want
+
+
+def test_ngram_join_of_texts_around_a_shared_passage(spark, monkeypatch):
+    """The plan itself mixes both allocations here, and finds what brute force finds."""
+    rng, plans, own = random.Random(8), [], ngram_join.bands
+    monkeypatch.setattr(ngram_join, "bands", lambda *a: plans.append(own(*a)) or plans[-1])
+    passage = [f"p{i}" for i in range(18)]
+    rows = []
+    for i in range(700):
+        w = [f"x{rng.randrange(9)}" for _ in range(rng.randrange(6))] + passage[: rng.choice([10, 14, 18])] + [f"y{rng.randrange(9)}" for _ in range(rng.randrange(6))]
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert any(b.deletions for k, b in plans[-1].items() if k > 2), plans
+
+
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError, match="settled"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+    nulls = spark.createDataFrame([(None, 1), (2, None), (3, 3), (4, 5), (5, 4)], "a long, b long")
+    assert {(r.v, r.root) for r in components(nulls).collect()} >= {(5, 4)} and components(nulls.limit(0)).count() == 0
