@@ -67,6 +67,31 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": rf"""
+        WITH raw AS (SELECT doc_id AS id, text, true AS doc FROM documents UNION ALL SELECT item_id, text, false FROM benchmark),
+             c1 AS (SELECT id, doc, regexp_replace(translate(coalesce(text, ''), '#@%', '   '), '([\p{{Ll}}\p{{N}},;:] )(\p{{Lu}})', '\1@\2', 'g') AS t FROM raw),
+             c2 AS (SELECT id, doc, regexp_replace(regexp_replace(t, '(^|[^\p{{L}}\p{{N}}.,])([0-9])', '\1#\2', 'g'), '(?i)(#\S+\s+)({"|".join(decontaminate.UNITS)})\b', '\1%\2', 'g') AS t FROM c1),
+             c3 AS (SELECT id, doc, regexp_replace(regexp_replace(t, '([0-9])[.,]([0-9])', '\1_\2', 'g'), '([0-9])[.,]([0-9])', '\1_\2', 'g') AS t FROM c2),
+             c4 AS (SELECT id, doc, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}#@%_]+', ' ', 'g')), ' ') AS w FROM c3),
+             w AS (SELECT id, doc, w, list_transform(w, lambda x: CASE WHEN x[1] IN ('#', '@', '%') THEN x[1] ELSE x END) AS m FROM c4 WHERE w[1] <> ''),
+             p AS (SELECT id, doc, w, m, len(w) AS n, least(len(w), 6) AS k, unnest(range(0, len(w))) AS pos FROM w),
+             i AS (SELECT *, array_to_string(m[pos + 1:pos + k], ' ') AS key FROM p WHERE NOT doc AND pos <= n - k),
+             ks AS (SELECT DISTINCT k FROM i),
+             d AS (SELECT p.id, p.w, p.m, p.n, p.pos, ks.k AS k, array_to_string(p.m[p.pos + 1:p.pos + ks.k], ' ') AS key FROM p, ks WHERE doc AND pos <= n - ks.k),
+             h AS (SELECT d.id AS doc_id, i.id AS item_id, i.n AS item_words, i.k, d.pos - i.pos AS shift, i.pos, i.w AS iw, d.w AS dw, i.m AS im, d.m AS dm
+                   FROM d JOIN i ON d.key = i.key AND d.k = i.k WHERE i.pos = 0 OR d.pos = 0 OR d.m[d.pos] <> i.m[i.pos]),
+             r AS (SELECT *, list_filter(range(pos, least(item_words, len(dw) - shift)), lambda j: im[j + 1] <> dm[j + 1 + shift]) AS bad FROM h),
+             s AS (SELECT doc_id, item_id, item_words, shift, iw, dw, im, pos, coalesce(bad[1], least(item_words, len(dw) - shift)) AS stop FROM r),
+             t AS (SELECT *, list_distinct(list_transform(list_filter(range(pos, stop), lambda j: im[j + 1] IN ('#', '@')), lambda j: [iw[j + 1], dw[j + 1 + shift]])) AS slots,
+                          len(list_filter(range(pos, stop), lambda j: im[j + 1] NOT IN ('#', '@', '%'))) AS literal,
+                          item_words >= 6 OR len(list_filter(im, lambda x: x NOT IN ('#', '@', '%'))) > 0 AS plain FROM s),
+             u AS (SELECT *, len(list_filter(slots, lambda x: x[1] <> x[2])) = 0 AS same FROM t),
+             v AS (SELECT doc_id, item_id, item_words, shift, list_distinct(flatten(list(slots))) AS slots, list_distinct(flatten(list(range(pos, stop)))) AS got
+                   FROM u WHERE same OR plain AND 2 * literal >= stop - pos GROUP BY ALL),
+             x AS (SELECT doc_id, item_id, item_words, got, len(list_filter(slots, lambda x: x[1] <> x[2])) = 0 AS same FROM v
+                   WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots)),
+             y AS (SELECT doc_id, item_id, item_words, len(list_distinct(flatten(list(got)))) AS matched, bool_and(same) AS same_slots FROM x GROUP BY ALL)
+        SELECT doc_id, item_id, matched, item_words, matched / item_words AS coverage, same_slots FROM y WHERE matched >= 0.5 * item_words AND matched >= least(8, item_words)""",
     "op6_warc": r"""
         WITH t AS (SELECT page_id, url, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
              g AS (SELECT payload_digest, min(page_id) AS first FROM t WHERE payload_bytes >= 100 GROUP BY payload_digest)

@@ -207,6 +207,66 @@ def test_contaminated_equals_brute_force(spark, data):
     assert got == want and got
 
 
+def brute_contaminated(docs, items, window=6):
+    """(document, item): matched, by trying every offset; docs and items are canonical words."""
+    mark = lambda w: w[0] if w[0] in "#@%" else w
+    out = {}
+    for i, d in docs.items():
+        for k, b in items.items():
+            need, covered = min(window, len(b)), set()
+            plain = len(b) >= window or any(w[0] not in "#@%" for w in b)
+            for shift in range(-len(b), len(d)):
+                pairs = [(x, d[j + shift]) if 0 <= j + shift < len(d) else None for j, x in enumerate(b)]
+                equal = [p is not None and mark(p[0]) == mark(p[1]) for p in pairs]
+                runs, j = [], 0
+                while j < len(b):
+                    end = j
+                    while end < len(b) and equal[end]:
+                        end += 1
+                    if end - j >= need:
+                        own = all(x == y for x, y in pairs[j:end] if x[0] in "#@")
+                        words = sum(x[0] not in "#@%" for x, _ in pairs[j:end])
+                        if own or plain and 2 * words >= end - j:
+                            runs.append((j, end))
+                    j = max(end, j + 1)
+                slots = {p for j, end in runs for p in pairs[j:end] if p[0][0] in "#@"}
+                if len({x for x, _ in slots}) == len(slots):
+                    covered |= {j for a, end in runs for j in range(a, end)}
+            if len(covered) >= 0.5 * len(b) and len(covered) >= min(8, len(b)):
+                out[i, k] = len(covered)
+    return out
+
+
+def test_contaminated_slots_and_places_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = ["red", "birds", "sing", "near", "old", "rivers", "while", "people", "sleep", "and", "stones", "roll"]
+    part = lambda: rng.choice([*words, *words, str(rng.randrange(4)), "Ann", "Bob", "5 kg"])
+    items = {k: " ".join(part() for _ in range(rng.choice([2, 5, 7, 12, 16, 24]))) for k in range(25)} | {90: "7", 91: "", 92: None}
+    rows = [(900, None), (901, ""), (902, items[0]), (903, f"{items[1]} {items[1]}")]
+    for i in range(260):
+        body = (items[rng.randrange(25)]).split()
+        cut = rng.randrange(len(body))
+        body = body[cut : cut + rng.randint(8, 12)] if rng.random() < 0.5 else body
+        swap = {"0": "8", "1": "9", "2": rng.choice("89"), "Ann": "Cy", "Bob": rng.choice(["Cy", "Di"])} if rng.random() < 0.6 else {}
+        body = [swap.get(w, w) if rng.random() < 0.95 else part() for w in body]
+        rows.append((i, " ".join([part() for _ in range(rng.randrange(6))] + body * rng.choice([1, 1, 2]) + [part() for _ in range(rng.randrange(4))])))
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, item_id string, runs string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    words_of = lambda df, i: {r[0]: r[1].split() for r in df.select(i, decontaminate.canonical(F.col("text"))).collect() if r[1]}
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(docs, bench).collect()}
+    want = brute_contaminated(words_of(docs, "doc_id"), words_of(bench, "item_id"))
+    assert got == want and len(want) > 80
+
+
+def test_contaminated_counts_each_word_of_an_item_once(spark):
+    item = "quiet rivers bend around the old mill where nobody dares swim after dusk"  # 13 words
+    rows = [(1, " ".join(["quiet rivers bend around the old and"] * 2)), (2, f"{item} in 99 towns"), (3, "he said quiet rivers bend around the old mill where nobody dares fish")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "a word " + item + " by 7 people")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(2, 1, 13), (2, 2, 13), (3, 1, 10), (3, 2, 10)}
+
+
 def test_contaminated_short_runs_at_every_place(spark, monkeypatch):
     bench = ["why do some green birds sing at dawn", "where do quiet old rivers bend", "who invented paper", "Tom has 3 red apples. Tom buys 4 more. How many red apples does Tom have now?", "42"]
     texts = [*bench[:3], bench[3].replace("Tom", "Ann").replace("3", "8").replace("4", "6"), "41"]
