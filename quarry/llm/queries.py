@@ -114,11 +114,11 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.root), w.doc_id) AS component_id
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id""",
     "op10_perspectives": r"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\|im_') AS content FROM conversations),
              w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
              r AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
                    FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.conv_id),
-             h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r)
+             h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || replace(translate(speaker, chr(13) || chr(10), '  '), '<|im_', '<\|im_') ELSE '' END || chr(10) AS head FROM r)
         SELECT conv_id, perspective, turn, speaker, role, head || content || '<|im_end|>' || chr(10) AS segment,
                CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END::BIGINT AS mask_start,
                CASE WHEN role = 'assistant' THEN length(head || content) + 10 ELSE 0 END::BIGINT AS mask_end,
