@@ -9,6 +9,9 @@ normalised text is reduced to its SHA-256 in the JVM; only digests, ids and row
 * Each map task pre-aggregates its rows in such an index (so a text that fills a third of the table
   leaves a task as one row per flush), the partial entries are dealt by digest and merged in a second
   index, a smaller keeper replacing the live entry. Memory is bounded by ``flush`` in both phases.
+* Groups of several rows are verified on their content: the normalised texts, bucketed by digest and reduced to one
+  per text in each task before they move, must be one text a digest; two are an error.
+* ``apply_changes`` keeps an index over time: documents come and go, digests are inserted and deleted.
 
 Defined results: a null text counts as empty; a null doc_id sorts after all others; of rows that
 repeat doc_id and text the first in table order stays, so each group keeps exactly one row; an empty
@@ -179,6 +182,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
+def clashes(docs: DataFrame, repeated: DataFrame, text_col: str = "text") -> DataFrame:
+    """(digest): those of ``repeated`` under which ``docs`` has different texts."""
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), common.SPACE, " ")
+    content = docs.select(text.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    small = common.maybe_broadcast(repeated, repeated.count(), 64)
+    content = content.join(small, "digest", "left_semi").groupBy("digest", "content").agg(F.lit(1).alias("one"))
+    return content.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     ship(docs.sparkSession)
@@ -186,10 +198,45 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     partial = rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("n")).mapInArrow(lambda it: merge_entries(it), _ENTRY)
     part = F.conv(F.hex(F.substring("digest", 9, 2)), 16, 10).cast("int")
     dealt = partial.withColumn("part", part).repartition("digest").sortWithinPartitions("part")
-    index = dealt.mapInArrow(lambda it: merge_entries(it, by_range=True), _ENTRY)
+    index = common.save(dealt.mapInArrow(lambda it: merge_entries(it, by_range=True), _ENTRY), "index")
+    if not clashes(docs, index.where("n > 1").select("digest"), text_col).isEmpty():
+        raise ValueError("different texts share a digest")
     return rows.join(index, "digest").select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Live (digest, n) of rows (digest, n, part) sorted by part."""
+    schema = pa.schema([("digest", pa.binary()), ("n", pa.int64())])
+
+    def live(index: CuckooIndex) -> pa.RecordBatch:
+        found = list(index.items())
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], schema=schema)
+
+    index, last = CuckooIndex(4096), None
+    for batch in batches:
+        for digest, n, part in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != last and len(index) >= FLUSH:
+                yield live(index)
+                index = CuckooIndex(4096)
+            last, old = part, index.get(digest)
+            if old is not None:
+                index.delete(digest)
+            if (old or 0) + n:
+                index.insert(digest, (old or 0) + n)
+    yield live(index)
+
+
+def apply_changes(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(digest, n): the live digests and how many documents have each, after documents came and went; all three tables have (digest, n).
+
+    Digests of which more go than there are is an error of the caller; they get a negative n. Null digests don't count; empty tables change nothing."""
+    ship(index.sparkSession)
+    rows = index.select("digest", "n").unionByName(added.select("digest", "n")).unionByName(removed.select("digest", (-F.col("n")).alias("n")))
+    rows = rows.where("digest is not null").groupBy("digest", (F.col("n") < 0).alias("gone")).agg(F.sum("n").alias("n")).drop("gone")
+    part = F.conv(F.hex(F.substring("digest", 9, 2)), 16, 10).cast("int")
+    return rows.withColumn("part", part).repartition("digest").sortWithinPartitions("part").mapInArrow(_changed, "digest binary, n long")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat an earlier one's text.
 

@@ -47,6 +47,36 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_content_is_verified(spark, monkeypatch):
+    rows = [(1, "a  b"), (2, "a b"), (3, None), (4, ""), (5, "x" * 100_000), (6, "x" * 100_000)]
+    table = docs(spark, rows)
+    every = exact_dedup.digests(table).select("digest").distinct()
+    assert exact_dedup.clashes(table, every).count() == 0
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.substring(exact_dedup.F.lit("00" * 32), 1, 64))
+    with pytest.raises(ValueError, match="share a digest"):
+        exact_dedup.exact_dedup(table)
+
+
+def test_apply_changes(spark, monkeypatch):
+    rng = random.Random(3)
+    key = lambda i: hashlib.sha256(str(i).encode()).digest()
+    monkeypatch.setattr(exact_dedup, "FLUSH", 10)
+    schema = "digest binary, n long"
+    old = {key(i): rng.randint(1, 3) for i in range(300)}
+    new = [(key(rng.randrange(400)), 1) for _ in range(500)] + [(None, 1)]
+    total = dict(old)
+    for k, n in new:
+        if k is not None:
+            total[k] = total.get(k, 0) + n
+    gone = [(k, rng.choice([n, 1])) for k, n in total.items() if rng.random() < 0.5]
+    got = exact_dedup.apply_changes(*(spark.createDataFrame(x, schema) for x in (list(old.items()), new, gone)))
+    for k, n in gone:
+        total[k] -= n
+    assert {bytes(r.digest): r.n for r in got.collect()} == {k: n for k, n in total.items() if n}
+    none = spark.createDataFrame([], schema)
+    assert exact_dedup.apply_changes(none, none, none).count() == 0
+
+
 def test_merge_flushes():
     import pyarrow as pa
 
