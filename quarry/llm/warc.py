@@ -1,9 +1,10 @@
-"""Content-addressed WARC archive with DataFrame functions.
+"""Content-addressed WARC archive with DataFrame functions (``import_files`` alone needs Python).
 
 An archive is two tables in a shared folder: ``payloads`` (SHA-256, bytes), each payload once, and ``records``
 (record id, exact record head, digest), one row per record; the head is the WARC header block and the HTTP header, byte
-for byte. Reading joins the two by digest, after the payload's digest was computed again and held against its key
-(a mismatch fails the job), and the head's fields are parsed back. ``record_bytes`` rebuilds whole records.
+for byte. Reading joins the two by digest, after the payload's digest was computed again and held against its key, rebuilds each
+record, and holds its length and digest against what its head says (a mismatch fails the job); the head's fields are parsed back.
+``record_bytes`` gives whole records, ``export`` writes them as WARC files that any reader takes, ``import_files`` reads such files.
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes the one with the smallest page_id is the response, the others are revisits that refer
 to it; smaller payloads are responses all.
@@ -18,14 +19,21 @@ page_id and payload the first in table order is the response; a null url is writ
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
 import uuid
+from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 MIN_REVISIT = 100
+#: The date of records whose pages have none.
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
@@ -100,13 +108,66 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
     checked = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.lower(F.hex("digest"))).otherwise(F.raise_error(F.lit("a stored payload doesn't have its digest")))
     stored = stored.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), checked.cast("string").alias("payload_digest"))
-    return read_heads(spark, path).join(stored, "digest").drop("digest")
+    out = read_heads(spark, path).join(stored, "digest").drop("digest")
+    # the record as it is rebuilt: its head, then as many bytes as the head tells
+    warc_head = F.octet_length(F.substring_index("head", _END * 2, 1)) + 4
+    length = F.octet_length("head") - warc_head + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    fits = (length == _field("Content-Length").cast("long")) & (_field("WARC-Payload-Digest") == F.concat(F.lit("sha256:"), F.col("payload_digest")))
+    url = F.when(F.coalesce(fits, F.lit(False)), F.col("url")).otherwise(F.raise_error(F.lit("a record doesn't fit its head: length or digest")))
+    return out.withColumn("url", url.cast("string"))
+
+
+def _body() -> Column:
+    return F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
     """(record_id, record): the whole records, as they would stand in a WARC file."""
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.select("record_id", F.concat(F.encode("head", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    return records.select("record_id", F.concat(F.encode("head", "UTF-8"), _body(), F.lit(b"\r\n\r\n")).alias("record"))
+
+
+def export(records: DataFrame, path: str) -> None:
+    """Writes records as gzipped WARC files below ``path``, one a task, by Spark's own text sink: each record's bytes, then CR LF CR LF."""
+    whole = F.concat(F.encode("head", "UTF-8"), _body()).cast("string")  # the cast keeps the bytes as they are
+    records.select(whole.alias("value")).write.option("lineSep", _END * 2).option("compression", "gzip").text(path)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            data, heads, blocks, size = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw), [], [], 0
+            while head := _head(data):
+                found = re.search(rb"\r\nContent-Length: *(\d+)", head, re.I)
+                block = data.read(int(found[1])) if found else b""
+                if not found or len(block) < int(found[1]):
+                    raise ValueError("a WARC record is cut off")
+                heads.append(head.decode("utf-8", "replace"))
+                blocks.append(block)
+                size += len(block)
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(blocks, pa.binary())], names=["head", "block"])
+                    heads, blocks, size = [], [], 0
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(blocks, pa.binary())], names=["head", "block"])
+
+
+def _head(data: BinaryIO) -> bytes:
+    """The next record's header block with its empty line; nothing at the end."""
+    lines = []
+    while line := data.readline():
+        if line == b"\r\n" and not lines:
+            continue  # what ended the record before
+        lines.append(line)
+        if line == b"\r\n":
+            break
+    return b"".join(lines)
+
+
+def import_files(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, record_type, url, payload_digest, head, block) of each record of WARC files, gzipped or not; a file is read by one task, record by record."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    rows = files.mapInArrow(_parsed, "head string, block binary")
+    return rows.select(_field("WARC-Record-ID").alias("record_id"), _field("WARC-Type").alias("record_type"), _field("WARC-Target-URI").alias("url"), _field("WARC-Payload-Digest").alias("payload_digest"), "head", "block")
 
 
 def archive(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:

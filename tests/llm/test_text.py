@@ -102,6 +102,18 @@ def test_warc_round_trip(spark, tmp_path):
         assert len(block) == size + 4 and block[:-4].partition(b"\r\n\r\n")[2] == (b"a" * 100 if kind == b"response" else b"")
     assert b"WARC-Refers-To: <urn:uuid:" in records[b"revisit"]
     assert spark.read.parquet(f"{path}/payloads").count() == 1
+    # as files, and back
+    warc.export(warc.read_archive(spark, path), f"file://{tmp_path}/files")
+    files = {r.record_type: r for r in warc.import_files(spark, f"file://{tmp_path}/files/*.gz").collect()}
+    assert len(files) == 2 and all(records[k.encode()] == r.head.encode() + bytes(r.block) + b"\r\n\r\n" for k, r in files.items())
+    # a head that was tampered with is found
+    heads = spark.read.parquet(f"{path}/records")
+    bad = [(r.record_id, r.head.replace("Content-Length: ", "Content-Length: 1", 1), bytes(r.digest)) for r in heads.collect()]
+    (tmp_path / "bad").mkdir()
+    spark.createDataFrame(bad, heads.schema).write.parquet(f"file://{tmp_path}/bad/records")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"file://{tmp_path}/bad/payloads")
+    with pytest.raises(Exception, match="fit its head"):
+        warc.read_archive(spark, f"file://{tmp_path}/bad").collect()
     # a payload that was tampered with is found
     bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"b" * 100)).collect()
     spark.createDataFrame(bad, "digest binary, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
