@@ -5,13 +5,14 @@ the like). Subtrees that can't be article text go first: scripts, styles, menus,
 adverts, reader comments, told by tag, role or the words of class and id. A name alone doesn't drop an element with another name that means
 article text ("content no-sidebar") or one around the page's ``main``. Nor does a compound name ("has-sidebar"; not "sidebar") drop an element around the
 page's only articles, or with most of its paragraph text and no other article or main beside it; their score decides, and those apart from the best container go. Each paragraph then passes points (one, one for each
-comma, one for each 100 characters up to three) to its ancestors: the parent in full, the grandparent half, further ones a
-third of that by level; points are discounted by the share of the container's text that is link text. The best
+comma, one for each 100 characters up to three) to its ancestors: the parent in full, and half as many at each level above; points are
+discounted by the share of the container's text that is link text. The best
 container is kept, or the ``article`` or ``main`` element around it, and with it its sibling blocks that have text of their own
 which isn't mostly links.
 
 The text is what is left: character references decoded, white space inside a block one space, trimmed, blocks joined in page order by
-one space. Nothing is cut: pages of any size are read whole, one at a time.
+one space. Nothing is cut: pages of any size are read whole, one at a time, in time that grows in proportion however deep elements are nested and
+however many stray tags there are.
 
 Defined results: a null or empty page gives an empty text; a page that breaks off inside a tag loses that tag alone; unclosed elements end
 with their parent; a page without paragraphs is scored on its bare blocks; repeated rows get equal results; an empty table gives
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,16 +58,38 @@ _ENDS = {
     "option": ({"option"}, {"select"}),
 }
 _BARRIER = {"table", "td", "th", "caption", "button", "object", "template", "html"}
+#: The different entries of _ENDS, and which of them an opening tag asks for.
+_GROUPS = sorted({(tuple(sorted(e)), tuple(sorted(s))) for e, s in _ENDS.values()})
+_GROUP_OF = {tag: _GROUPS.index((tuple(sorted(e)), tuple(sorted(s)))) for tag, (e, s) in _ENDS.items()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "good", "named", "spared", "score", "chars", "links")
+    """``paragraph`` is the open paragraph it lies in (itself included), ``ends`` what each of _GROUPS would end there, ``open`` the open tags
+    by name since the last barrier."""
+
+    __slots__ = ("tag", "parent", "children", "dropped", "good", "named", "spared", "score", "chars", "links", "commas", "paragraph", "ends", "open")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.dropped = self.good = self.spared = False
         self.named = 0
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.chars, self.links, self.commas = 0.0, 0, 0, 0
+        self.paragraph: Node | None = None
+        self.ends: tuple = (None,) * len(_GROUPS)
+        self.open: Counter = Counter()
+
+    def enter(self) -> None:
+        """Takes over from the parent what is open around it, without a walk."""
+        up, tag = self.parent, self.tag
+        self.paragraph = self if tag == "p" else None if tag in _BARRIER else up.paragraph
+        if tag in _ENDING:
+            self.ends = tuple(None if tag in stops else (above or self) if tag in ends else above for (ends, stops), above in zip(_GROUPS, up.ends))
+        else:
+            self.ends = up.ends
+        self.open = Counter() if tag in _BARRIER else up.open
+
+
+_ENDING = {tag for ends, stops in _GROUPS for tag in (*ends, *stops)}
 
 
 def _unwanted(tag: str, attrs: str) -> tuple[bool, bool, int]:
@@ -90,7 +114,7 @@ def _unwanted(tag: str, attrs: str) -> tuple[bool, bool, int]:
 def parse(page: str) -> Node:
     """The tree of a page; text is str children, ``br`` a blank."""
     root = Node("#root", None)
-    at, top, end = 0, root, len(page)
+    at, top, end, every = 0, root, len(page), Counter()
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -115,30 +139,18 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            # a block is looked for among all open tags, others up to the last barrier
+            if not (every if tag in BLOCK else top.open)[tag] and not (tag in _BARRIER and every[tag]):
+                continue
             node = top
-            while node is not root and node.tag != tag:
-                if node.tag in _BARRIER and tag not in BLOCK:
-                    node = root
-                    break
+            while node.tag != tag:
                 node = node.parent
-            if node is not root:
-                top = node.parent
+            top = _close(top, node, every)
             continue
-        if tag in BLOCK and tag not in _ENDS or tag == "p":
-            node = top
-            while node is not root and node.tag not in _BARRIER and node.tag != "p":
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
-        if tag in _ENDS:
-            ends, stop = _ENDS[tag]
-            node, found = top, None
-            while node is not root and node.tag not in stop:
-                if node.tag in ends:
-                    found = node
-                node = node.parent
-            if found is not None:
-                top = found.parent
+        if (tag in BLOCK and tag not in _ENDS or tag == "p") and top.paragraph is not None:
+            top = _close(top, top.paragraph, every)
+        if tag in _ENDS and top.ends[_GROUP_OF[tag]] is not None:
+            top = _close(top, top.ends[_GROUP_OF[tag]], every)
         node = Node(tag, top)
         node.dropped, node.good, node.named = _unwanted(tag, m[3])
         top.children.append(node)
@@ -149,12 +161,25 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
             continue
         if not m[3].endswith("/") or tag in BLOCK:
+            node.enter()
+            every[tag] += 1
+            node.open[tag] += 1
             top = node
     return root
 
 
-def _measure(node: Node, in_link: bool = False) -> None:
-    """Characters and link characters of each kept subtree, without recursion."""
+def _close(top: Node, node: Node, every: Counter) -> Node:
+    """Closes everything from ``top`` up to ``node``; what is open then."""
+    last = node.parent
+    while top is not last:
+        every[top.tag] -= 1
+        top.open[top.tag] -= 1
+        top = top.parent
+    return last
+
+
+def _measure(node: Node, in_link: bool = False) -> list[Node]:
+    """Characters, link characters and commas of each kept subtree, without recursion; the nodes, parents first."""
     stack = [(node, in_link, 0)]
     order = []
     while stack:
@@ -166,12 +191,15 @@ def _measure(node: Node, in_link: bool = False) -> None:
                 size = len(c.strip())
                 n.chars += size
                 n.links += size * link
+                n.commas += c.count(",") + c.count("，") + c.count("、")
             elif not c.dropped:
                 stack.append((c, link, 0))
     for n in reversed(order):
         if n.parent is not None and n is not node:
             n.parent.chars += n.chars
             n.parent.links += n.links
+            n.parent.commas += n.commas
+    return order
 
 
 _INLINE_PARAGRAPH = {"p", "pre", "td", "blockquote", "dd"}
@@ -243,32 +271,20 @@ def _density(n: Node) -> float:
     return n.links / n.chars if n.chars else 0.0
 
 
-def _commas(n: Node) -> int:
-    total, stack = 0, [n]
-    while stack:
-        for c in stack.pop().children:
-            if isinstance(c, str):
-                total += c.count(",") + c.count("，") + c.count("、")
-            elif not c.dropped:
-                stack.append(c)
-    return total
-
-
 def choose(root: Node) -> list[Node]:
     """The nodes that make up the article, in page order."""
     _settle(root)
-    _measure(root)
+    order = _measure(root)
     scored: dict[int, Node] = {}
-    paragraphs = _paragraphs(root)
-    for p in paragraphs:
-        if not p.chars:
-            continue
-        points = 1 + _commas(p) + min(p.chars / 100, 3)
-        up, level = p.parent or p, 0
-        while up is not None:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+    for p in _paragraphs(root):
+        if p.chars:
+            up = p.parent or p
+            up.score += 1 + p.commas + min(p.chars / 100, 3)
             scored[id(up)] = up
-            up, level = up.parent, level + 1
+    for n in reversed(order):  # children before their parents: half of what a container has goes on to the one around it
+        if n.score and n.parent is not None:
+            n.parent.score += n.score / 2
+            scored[id(n.parent)] = n.parent
     if not scored:
         scored = {id(n): n for n in _blocks(root) if n.good and n.chars} or {id(root): root}
         for n in scored.values():

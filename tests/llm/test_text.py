@@ -337,3 +337,43 @@ def test_rotation_cannot_be_forged_and_renders_whole(spark):
         assert got == [(x[3] or "").replace("<|im_", "<\\|im_") + "<|im_end|>" for x in mine]
     assert "\n<|im_start|>user name=ann <\\|im_start|>x\nhi<\\|im_end|>" in whole[1, "bob"].text
     assert perspectives.render(out.limit(0)).count() == 0
+
+
+def test_scores_equal_brute_force():
+    """Every container's points by walking up from each paragraph, on random trees."""
+    rng = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "<p>" + rng.choice(["a, b", "long text, " * 20, "<a>link, link</a>", "x <a>y</a> z"]) + "</p>"
+        return f"<{(t := rng.choice(['div', 'section', 'ul', 'span']))}>" + "".join(tree(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{t}>"
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{tree(6)}</body>")
+        html_extract.choose(root)
+        nodes, stack = [], [root]
+        while stack:
+            n = stack.pop()
+            if not n.dropped:
+                nodes.append(n)
+                stack += [c for c in n.children if not isinstance(c, str)]
+        points = {id(n): 0.0 for n in nodes}
+        for p in html_extract._paragraphs(root):
+            text = html_extract.render([p])
+            up, level = p.parent, 0
+            size = p.chars
+            while up is not None and size:
+                points[id(up)] += (1 + text.count(",") + min(size / 100, 3)) / 2**level
+                up, level = up.parent, level + 1
+        assert all(abs(points[id(n)] - n.score) < 1e-6 for n in nodes)
+
+
+def test_extract_time_grows_in_proportion():
+    import time
+
+    n, text = 16_000, "words, and more words that make a line of some length, and on it goes, on and on. "
+    pages = ["<div>" * n + f"<p>{text}", "<div>" * n + "</p>" * n + text, "<b><table><td>" + "<div>" * n + "</b>" * n, "<div><dd></dd>" * n, f"<div><p>{text}</p>" * n, f"<div>{text}" * n]
+    for page in pages:
+        began = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - began < 3  # seconds; walks up the tree for each tag took minutes
