@@ -9,8 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch, of texts of any length: Spark's 10,000 would be tens of megabytes a batch, on both sides.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors, once a context."""
+    """Sends the package's sources to the executors, once a context, and keeps Arrow batches small where their size wasn't chosen."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     context = spark.sparkContext
     if getattr(context, "_quarry_shipped", False):
         return
