@@ -41,8 +41,8 @@ MAX_PLACES = 1 << 24
 SURE = 6.0
 #: Characters of a text looked at in one step.
 PIECE = 1 << 18
-_U = np.uint64
-_BASE, _MIX = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_U = np.uint32
+_BASE, _MIX = _U(0x9E3779B1), _U(0x85EBCA6B)
 
 
 def places(text: str | None) -> Iterator[np.ndarray]:
@@ -51,21 +51,24 @@ def places(text: str | None) -> Iterator[np.ndarray]:
     raw = np.where((raw >= 9) & (raw <= 13), np.uint32(32), raw)
     longest = max(GRAMS)
     for at in range(0, len(raw), PIECE):
-        c = raw[at : at + PIECE + longest - 1].astype(_U)
+        c = raw[at : at + PIECE + longest - 1]
         h = c
         for n in range(2, longest + 1):
             if len(c) < n:
                 break
             h = h[: len(c) - n + 1] * _BASE + c[n - 1 :]
             if n in GRAMS:  # a gram that begins in the overlap belongs to the next piece; counted here too, it is the same feature
-                yield (((h ^ (h >> _U(29))) * _MIX) >> _U(64 - BITS)).astype(np.int32)
+                yield (((h ^ (h >> _U(15))) * _MIX) >> _U(32 - BITS)).view(np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
     """The different places of a text."""
-    found = [p for p in places(text)]
+    found = list(places(text))
+    if not found:
+        return np.zeros(0, np.int32)
     if sum(map(len, found)) < 1 << (BITS - 2):
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+        every = np.sort(np.concatenate(found))
+        return every[np.concatenate([[True], every[1:] != every[:-1]])]
     marked = np.zeros(1 << BITS, bool)
     for p in found:
         marked[p] = True
@@ -94,7 +97,7 @@ def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 1
     return np.log(counts[1] / (k + 2 * alpha)) - np.log(counts[0] / (n - k + 2 * alpha)), counts.sum(0) - 2 * alpha
 
 
-def fit(rows: list[np.ndarray], toxic: list[int], l2: float = 1e-5, epochs: int = 20, batch: int = 128, rate: float = 40.0, seed: int = 11) -> Model:
+def fit(rows: list[np.ndarray], toxic: list[int], l2: float = 1e-5, epochs: int = 20, batch: int = 128, rate: float = 80.0, seed: int = 11) -> Model:
     """Fits on the places of each row."""
     y, size = np.asarray(toxic, np.float64), 1 << BITS
     if not len(y) or y.min() == y.max():
@@ -105,7 +108,7 @@ def fit(rows: list[np.ndarray], toxic: list[int], l2: float = 1e-5, epochs: int
     ratio *= sure / (sure + SURE**4)
     ratio /= max(1e-9, float(np.sqrt(np.mean([np.square(ratio[f]).sum() for f in rows]))))
     w, b = np.zeros(size), 0.0
-    share = np.sqrt(np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (1 - y).sum()))
+    share = np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (1 - y).sum()) ** 0.75  # most of the way to equal classes
     rng, step = np.random.default_rng(seed), 0
     parts = max(1, len(rows) // batch)
     for _ in range(epochs):
