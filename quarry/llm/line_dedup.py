@@ -66,7 +66,7 @@ def within_one(a: Column, b: Column) -> Column:
 def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per dropped line: doc_id, line_no, keep_doc_id, keep_line_no, edits (0 or 1)."""
     place = F.struct("doc_id", "line_no")
-    known = common.save(halves(lines(docs, id_col, text_col), min_words).select("doc_id", "line_no", "h", "keys"), "keys")
+    known = common.save(halves(lines(docs, id_col, text_col), min_words).select("doc_id", "line_no", "h", "keys", "norm"), "keys")
 
     # Equal lines: the earliest place of those that occur more than once.
     equal = known.groupBy("h").agg(F.min(place).alias("own"), F.count("*").alias("n")).where("n > 1").select("h", "own")
@@ -78,7 +78,7 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     some = known.select("h", F.explode("keys").alias("key")).join(hot, "key", "left_semi").select("h").distinct()
     some = common.save(some, "shared")
     some = common.maybe_broadcast(some, some.count(), 16)
-    may = lines(docs, id_col, text_col).join(some, "h", "left_semi")
+    may = known.select("doc_id", "line_no", "h", "norm").join(some, "h", "left_semi")
     may = common.save(may.groupBy("h").agg(F.min(place).alias("place"), F.first("norm").alias("norm")), "lines")
 
     # Variants. Two lines are near when the same place taken out leaves the same words (role 1), or when one is what
