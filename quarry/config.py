@@ -85,6 +85,17 @@ def parse(text: str | None) -> Config:
     return out
 
 
+def describe(config: Config) -> list[str]:
+    """The settings as text, one a line, in the order of their keys; what ``debug`` prints."""
+    shown = {**config.values, "type": " ".join(config.types), "databaseDir": config.database_dir, "filterDir": config.filter_dir, "benchmarkDir": config.benchmark_dir, "debugLevel": config.debug_level}
+    return [f"{k} = {v}" for k, v in sorted(shown.items())]
+
+
+def ordered(settings: DataFrame, key: str = "key") -> DataFrame:
+    """Settings in the order of their keys."""
+    return settings.where(F.col(key).isNotNull()).orderBy(key)
+
+
 def load(path: str) -> Config:
     try:
         with open(path) as f:

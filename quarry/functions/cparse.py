@@ -1,22 +1,17 @@
 """A light front end for C: one file's functions, expression and statement nodes with types, as plain rows.
 
-Preprocessor lines aren't followed: object-like macros are remembered, their uses have the type of a literal body, else none. Types that can't
+Conditionals and macros are carried out first (``preproc``); headers aren't read. Types that can't
 be known are ``Unknown`` and match nothing. Errors are counted, never raised; after one the parser goes on behind the next ``;`` or
 closing brace. Offsets are code points of the text.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
-_LEX = re.compile(
-    r"(?P<ws>[ \t\r\f\v]+|\\\r?\n)|(?P<nl>\n)|(?P<comment>//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z))|(?P<num>(?:0[xX][0-9a-fA-F]+|\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)[uUlLfF]*)"
-    r"|(?P<id>[A-Za-z_$][\w$]*)|(?P<str>(?:L|u8|u|U)?\"(?:\\.|[^\"\\\n])*\")|(?P<chr>(?:L|u|U)?'(?:\\.|[^'\\\n])+')"
-    r"|(?P<op>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^]=|##?|[-+*/%&|^~!<>=?:;,.(){}\[\]@])|(?P<bad>.)",
-    re.S,
-)
-
+from .preproc import Token, preprocess
 
 @dataclass(frozen=True)
 class Type:
@@ -78,15 +73,6 @@ def arithmetic(a: Type, b: Type) -> Type:
     return a if _RANK[a.kind] >= _RANK[b.kind] else b
 
 
-@dataclass
-class Token:
-    kind: str
-    text: str
-    begin: int
-    end: int
-    line: int
-
-
 @dataclass
 class Unit:
     """What a file has: rows of functions and nodes, and counts."""
@@ -104,55 +90,19 @@ class Bad(Exception):
     pass
 
 
-def lex(text: str) -> tuple[list[Token], list[tuple[int, int]], dict[str, str]]:
-    """Tokens, comments and object-like macros; directives are left out."""
-    tokens, comments, macros = [], [], {}
-    line, at, fresh = 1, 0, True
-    while at < len(text):
-        m = _LEX.match(text, at)
-        kind, word = m.lastgroup, m[0]
-        if kind == "op" and word in ("#", "##") and fresh:
-            end = at
-            while True:
-                nl = text.find("\n", end)
-                if nl < 0:
-                    end = len(text)
-                    break
-                if text[:nl].rstrip("\r").endswith("\\"):
-                    end = nl + 1
-                    continue
-                end = nl
-                break
-            directive = text[at:end]
-            d = re.match(r"#\s*define\s+(\w+)(\(?)\s*(.*)", directive, re.S)
-            if d and not d[2]:
-                macros[d[1]] = d[3].strip()
-            line += directive.count("\n")
-            at = end
-            continue
-        if kind == "comment":
-            comments.append((at, m.end()))
-        elif kind == "nl":
-            fresh = True
-        elif kind != "ws":
-            tokens.append(Token(kind, word, at, m.end(), line))
-            fresh = False
-        line += word.count("\n")
-        at = m.end()
-    tokens.append(Token("eof", "", len(text), len(text), line))
-    return tokens, comments, macros
-
-
 class Parser:
     def __init__(self, text: str) -> None:
         self.text = text
-        self.tokens, self.comments, self.macros = lex(text)
+        source = preprocess(text)
+        self.tokens, self.comments, self.macros = source.tokens, source.comments, source.macros
+        self.comment_ends = [e for _, e in self.comments]
         self.at = 0
-        self.unit = Unit()
+        self.unit = Unit(n_errors=source.n_errors)
         self.scopes: list[dict[str, tuple[str, Type]]] = [{n: ("typedef", t) for n, t in _TYPEDEFS.items()}]
         self.records: dict[str, dict[str, Type]] = {}
         self.function = "Program"
         self.above: list[int] = [0]
+        self.kids: dict[int, list[dict]] = {}  # nodes by parent, in order
         self.anonymous = 0
 
     # --- tokens
@@ -190,6 +140,8 @@ class Parser:
     def open(self, kind: str, begin: int, line: int) -> dict:
         row = {"node_id": len(self.unit.nodes) + 1, "parent_id": self.above[-1], "kind": kind, "op": "", "type_kind": "", "type_str": "", "callee": "", "func": self.function, "begin": begin, "end": begin, "line": line}
         self.unit.nodes.append(row)
+        self.kids.setdefault(self.above[-1], []).append(row)
+        self.kids[row["node_id"]] = []
         self.above.append(row["node_id"])
         return row
 
@@ -204,9 +156,13 @@ class Parser:
     def wrap(self, first: int, kind: str, begin: int, line: int) -> dict:
         """A node around those made since ``first``, which becomes the parent of the topmost of them."""
         row = self.open(kind, begin, line)
-        for n in self.unit.nodes[first:-1]:
-            if n["parent_id"] == row["parent_id"]:
-                n["parent_id"] = row["node_id"]
+        beside, taken = self.kids[row["parent_id"]], []
+        beside.pop()
+        while beside and beside[-1]["node_id"] > first:
+            taken.append(beside.pop())
+            taken[-1]["parent_id"] = row["node_id"]
+        beside.append(row)
+        self.kids[row["node_id"]] = taken[::-1]
         return row
 
     # --- names
@@ -335,6 +291,9 @@ class Parser:
         n = len(self.unit.nodes)
         t = parse()
         del self.unit.nodes[n:]
+        beside = self.kids.get(self.above[-1], [])
+        while beside and beside[-1]["node_id"] > n:
+            beside.pop()
         return t
 
     def enum(self) -> Type:
@@ -371,7 +330,7 @@ class Parser:
                 depth += (x == "(") - (x == ")")
         elif self.tok.kind == "id" and self.tok.text not in _KEYWORDS:
             t = self.next()
-            name, where = t.text, {"name_begin": t.begin, "line": t.line, "in_macro": t.text in self.macros}
+            name, where = t.text, {"name_begin": t.begin, "line": t.line, "in_macro": t.macro}
         t = self.suffixes(base, where)
         if inner is not None:
             after, self.at = self.at, inner
@@ -423,11 +382,10 @@ class Parser:
     def comment_before(self, begin: int) -> tuple[int, int]:
         """The comments that end right before an offset, nothing but white space between; (-1, -1) if none."""
         start, end = -1, -1
-        for b, e in reversed(self.comments):
-            if e <= begin and not self.text[e:begin].strip():
-                start, end, begin = b, max(end, e), b
-            elif e <= begin:
-                break
+        at = bisect.bisect_right(self.comment_ends, begin) - 1
+        while at >= 0 and not self.text[self.comments[at][1] : begin].strip():
+            start, end = self.comments[at][0], max(end, self.comments[at][1])
+            begin, at = start, at - 1
         return start, end
 
     def add_function(self, name: str, t: Type, where: dict, storage: str, begin: int, is_def: bool) -> dict:
@@ -814,7 +772,7 @@ class Parser:
             self.want(")")
         elif t.kind == "id" and t.text not in _KEYWORDS:
             self.next()
-            name = t.text
+            name = "" if t.macro else t.text  # what a macro calls has no place in the file where it could be rewritten
             out = self.reference(t)
         else:
             raise Bad("expression")
@@ -838,11 +796,6 @@ class Parser:
 
     def reference(self, t: Token) -> Type:
         found = self.lookup(t.text)
-        if found is None and t.text in self.macros:
-            body = self.macros[t.text]
-            if re.fullmatch(r"\(?-?(0[xX][0-9a-fA-F]+|[\d.]+(?:[eE][+-]?\d+)?)[uUlLfF]*\)?", body):
-                return self.number(body.strip("()-"))
-            return Type("Array", "char[]", CHAR) if body.startswith('"') else UNKNOWN
         calls = self.tok.text == "("
         known = found[1] if found else _NAMES.get(t.text) or (Type("Function", "", LIBC[t.text]) if t.text in LIBC else None)
         if known is None:
@@ -921,7 +874,10 @@ class Parser:
 
 def parse(text: str | None) -> Unit:
     """A file's rows. Nesting too deep for the parser counts as an error."""
-    p = Parser(text or "")
+    try:
+        p = Parser(text or "")
+    except RecursionError:  # macros that grow without end
+        return Unit(n_errors=1)
     try:
         return p.run()
     except (RecursionError, IndexError):

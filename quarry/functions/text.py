@@ -24,6 +24,17 @@ STUB_VALUES = [
 NONDET, DEAD = "__VERIFIER_nondet_", "__VERIFIER__non_det_"
 
 
+def stub_definitions() -> str:
+    """C source that defines each concrete stub with its value, and a ``reach_error`` that does nothing."""
+    lines = [f"{c_type} {NONDET}{name}(void) {{ return {value}; }}" for name, c_type, value in STUB_VALUES]
+    return "\n".join(["#include <stdbool.h>", *lines, "void reach_error(void) {}", ""])
+
+
+def stub_values(stub: Column) -> Column:
+    """The value of a concrete stub by its name; null for others."""
+    return F.create_map(*[F.lit(x) for name, _, value in STUB_VALUES for x in (name, value)])[stub]
+
+
 def loc(text: Column) -> Column:
     """Lines that aren't empty; lines of blanks count."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != ""))

@@ -2,6 +2,9 @@
 
 Parsing is the one step that needs Python: rows of (path, text) go through Arrow once and come back with nested rows; everything between
 parsing and writing edits is DataFrame operations. A file is one row throughout; what is shuffled is small rows keyed by path.
+
+Defined results: a null text is an empty file; a path is the key of its file and stands in one row (``stages.parse_passing`` keeps one row of those that repeat
+a path and leaves out null paths); empty tables give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -154,12 +157,17 @@ def removed_call_edits(calls: DataFrame, funcs: DataFrame, removed: DataFrame) -
     return hit.where("stub <> ''").withColumn("replacement", T.nondet_call(F.col("stub")))
 
 
-def dead_call_edits(calls: DataFrame, funcs: DataFrame, config: Config) -> DataFrame:
-    """Calls of functions that the file declares, but neither defines nor calls extern."""
+def dead_call_edits(calls: DataFrame, funcs: DataFrame, config: Config, parsed: DataFrame | None = None) -> DataFrame:
+    """Calls of functions that the file declares, but neither defines nor calls extern; with ``parsed`` also of those it doesn't declare at
+    all (the call declares them, with an int result), the common library's and the stubs' apart."""
     state = funcs.groupBy("path", F.col("func").alias("callee")).agg(F.bool_or("is_def").alias("defined"), F.bool_or(F.col("storage") == "extern").alias("ext"))
     dead = state.where("not defined and not ext").select("path", "callee")
-    hit = calls.join(_return_name(funcs, _stripped()), ["path", "callee"]).join(dead, ["path", "callee"], "left_semi")
-    return hit.withColumn("replacement", T.dead_call(F.col("stub"), config.dead_call_prefix))
+    names = _return_name(funcs, _stripped()).join(dead, ["path", "callee"], "left_semi")
+    if parsed is not None:
+        called = parsed.select("path", F.explode(F.array_distinct("undeclared")).alias("callee")).where(~F.col("callee").startswith(T.NONDET) & ~F.col("callee").startswith(config.dead_call_prefix))
+        int_ = F.lit("int"), F.lit("Int")
+        names = names.unionByName(called.select("path", "callee", int_[0].alias("ret_type_str"), int_[1].alias("ret_type_kind"), int_[0].alias("stub")))
+    return calls.join(names, ["path", "callee"]).withColumn("replacement", T.dead_call(F.col("stub"), config.dead_call_prefix))
 
 
 def call_edits(hits: DataFrame) -> DataFrame:

@@ -32,3 +32,9 @@ def standard_headers(sources: DataFrame) -> DataFrame:
     """(path, header): standard headers a file includes, each once."""
     found = sources.select("path", F.explode(F.transform(F.split("text", "\n"), T.header_of)).alias("header"))
     return found.where(F.col("header").isin(T.STANDARD_HEADERS)).dropDuplicates(["path", "header"])
+
+
+def header_basenames(sources: DataFrame) -> DataFrame:
+    """(path, header): the file names of all headers a file includes, each once, standard or not."""
+    found = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.element_at(F.split(T.header_of(x), "/"), -1))
+    return sources.select("path", F.explode(F.array_distinct(F.filter(found, lambda h: h.isNotNull()))).alias("header"))

@@ -1,4 +1,7 @@
-"""The two stages, filter and transform, and both in one plan; summaries of what compiles."""
+"""The two stages, filter and transform, and both in one plan; summaries of what compiles.
+
+Defined results: of rows that repeat a path the one with the smallest text counts, rows with a null path and files with a null text are left out; empty tables
+give no rows; other columns aren't read."""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from ..functions import text as T
 from ..functions.cparse import LIBC
 from ..operators import cfront, rules, select
 from ..operators.positional import directory_rollup
+from ..sources import sinks
 from ..storage import save
 
 _STUBS = [f"{T.NONDET}{name}" for name, _, _ in T.STUB_VALUES]
@@ -18,7 +22,15 @@ _STUBS = [f"{T.NONDET}{name}" for name, _, _ in T.STUB_VALUES]
 def parse_passing(sources: DataFrame, config: Config) -> DataFrame:
     """Files that pass the file predicate, parsed once into a table; the cheap predicate stands before the costly parser."""
     files = select.passing_files(sources, config["minFileLoC"], config["maxFileLoC"], bool(config["useNonStdHeaders"]))
-    return save(cfront.parse_sources(files.select("path", "text")), "parsed")
+    return save(cfront.parse_sources(one_per_path(files)), "parsed")
+
+
+def one_per_path(sources: DataFrame) -> DataFrame:
+    """(path, text), each path once. Only paths are shuffled unless one repeats."""
+    rows = sources.select("path", "text").where("path is not null")
+    if rows.groupBy("path").count().where("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("path").agg(F.min("text").alias("text"))
 
 
 def function_verdicts(parsed: DataFrame, config: Config) -> DataFrame:
@@ -44,7 +56,7 @@ def run_filter(sources: DataFrame, config: Config, parsed: DataFrame | None = No
 def transform_edits(parsed: DataFrame, config: Config) -> DataFrame:
     """What the transform changes: dead calls, stubs, main."""
     funcs, calls = cfront.functions(parsed), cfront.nodes(parsed).where("kind = 'CallExpr' and callee <> ''")
-    dead = cfront.dead_call_edits(calls, funcs, config)
+    dead = cfront.dead_call_edits(calls, funcs, config, parsed)
     stubbed = dead.where(~F.col("ret_type_kind").isin("Void", "Record", "Unknown", "Array", "Function"))
     under = T.underscore_name(F.col("ret_type_str"), F.col("ret_type_kind") == "Bool", F.col("ret_type_kind") == "Pointer")
     c_type = F.when(F.col("ret_type_kind") == "Pointer", "void *").when(F.col("ret_type_kind") == "Bool", "_Bool").otherwise(F.col("ret_type_str"))
@@ -67,13 +79,20 @@ def compiles(outputs: DataFrame) -> DataFrame:
 
 def run_transform(filtered: DataFrame, config: Config) -> DataFrame:
     """(path, text, out_path, compiles) of the transformed files; those that don't compile only if they are kept."""
-    sources = filtered.select("path", "text")
+    sources = one_per_path(filtered.where("text is not null"))
     parsed = save(cfront.parse_sources(sources), "parsed")
     out = compiles(save(cfront.apply_edits(parsed.select("path", "text"), transform_edits(parsed, config)), "transformed"))
     out = out.withColumn("out_path", T.benchmark_path(F.col("path"), config.benchmark_dir, config.filter_dir))
     return out.where("compiles") if config.keep_compiles_only else out
 
 
+def write_outputs(outputs: DataFrame, root: str, config: Config) -> None:
+    """Writes files below ``root`` at their out_path; the benchmark folder is emptied first if the configuration asks for that."""
+    if config.wipe_old_benchmarks:
+        sinks.wipe(f"{root.rstrip('/')}/{config.benchmark_dir}")
+    sinks.write_tree(outputs, root)
+
+
 def run_full(sources: DataFrame, config: Config) -> DataFrame:
     """Filter, then transform; between them stand only intermediate tables."""
     return run_transform(run_filter(sources, config), config)

@@ -152,3 +152,115 @@ def test_filter_arriving(spark, tmp_path):
     for _ in range(2):
         filter_arriving(spark, str(tmp_path / "in"), str(tmp_path / "out"), config.parse(""), str(tmp_path / "ck")).awaitTermination(120)
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["int f(void) {\n  return 1;\n}\n"]
+
+
+def test_tree_goes_below_its_root(spark, tmp_path):
+    (tmp_path / "db/r s").mkdir(parents=True)
+    (tmp_path / "db/r s/a+b.c").write_text("int f(void) {\n  return 1;\n}\n")
+    rows = files.read_sources(spark, str(tmp_path / "db"))
+    assert [r.path for r in rows.collect()] == ["db/r s/a+b.c"]
+    c = config.parse("wipeOldBenchmarks = true\n")
+    out = stages.run_full(rows, c)
+    (tmp_path / "out/benchmarks").mkdir(parents=True)
+    (tmp_path / "out/benchmarks/old.c").write_text("old")
+    for _ in range(2):
+        stages.write_outputs(out, str(tmp_path / "out"), c)
+    made = [str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert made == ["benchmarks/db/r s/a+b.c"] and "int main(void) {\n    f();" in (tmp_path / "out" / made[0]).read_text()
+    again = files.read_sources(spark, f"file://{tmp_path}/out/benchmarks")  # what was written can be read
+    assert [r.path for r in again.collect()] == ["benchmarks/db/r s/a+b.c"]
+    for bad in ("../x.c", "a/../../x.c", ""):
+        with pytest.raises(Exception, match="below the folder"):
+            sinks.write_tree(spark.createDataFrame([(bad, "x")], files.SOURCES), str(tmp_path / "out"))
+    assert not (tmp_path / "x.c").exists()
+    sinks.write_tree(spark.createDataFrame([(None, "x"), ("file:/abs/n.c", None)], files.SOURCES), f"file://{tmp_path}/out")
+    assert (tmp_path / "out/abs/n.c").read_text() == ""
+
+
+def test_entry_points(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    (tmp_path / "db").mkdir()
+    (tmp_path / "db/a.c").write_text("int f(int x) {\n  return x;\n}\n")
+    (tmp_path / "c.config").write_text("minFileLoC = 2\ndebugLevel = 1\n")
+    for stage, made in (("filter", "filteredFiles/db/a.c"), ("full", "benchmarks/db/a.c"), ("transform", "benchmarks/db/a.c")):
+        assert main([stage, str(tmp_path / "c.config"), str(tmp_path / "db"), str(tmp_path / stage), "--debug"]) == 0
+        assert (tmp_path / stage / made).exists()
+    said = capsys.readouterr().out
+    assert "attempted 1, compile 1" in said and "minFileLoC = 2" in said and "== filteredFiles/db/a.c\nint f" in said
+    (tmp_path / "r.csv").write_text("repository,language,size,stars\na/b,C,100,1\na/c,Go,100,1\n")
+    assert main(["select", str(tmp_path / "none"), str(tmp_path / "r.csv"), str(tmp_path / "picked")]) == 0
+    assert [r.repository for r in spark.read.csv(str(tmp_path / "picked"), header=True).collect()] == ["a/b"]
+
+
+def test_config_in_order():
+    lines = config.describe(config.parse("type=Int\nminIfStmt=2"))
+    assert lines == sorted(lines) and "minIfStmt = 2" in lines and "type = Int" in lines
+
+
+CONDITIONAL = """#define DEPTH 3
+#define EACH(i, n) for (int i = 0; i < (n); i++)
+#define JOIN(a, b) a##b
+#define SAY(fmt, ...) printf(fmt, __VA_ARGS__)
+#define QUOTE(x) #x
+#if 0
+int never(void) { return 1; }
+#elif defined(DEPTH) && DEPTH > 2
+int deep(void) { return DEPTH; }
+#else
+int shallow(void) { return 2; }
+#endif
+#ifndef GUARD
+#define GUARD
+#ifdef MISSING
+int missing(void);
+#endif
+#endif
+#undef DEPTH
+#ifdef DEPTH
+int again(void);
+#endif
+int JOIN(glu, ed)(int v) { EACH(k, v) { v += k; } SAY("%d %s", v, QUOTE(a "b")); return v; }
+int main(void) { return unheard(3) + deep(); }
+"""
+
+
+def test_conditionals_and_macros(spark):
+    u = cparse.parse(CONDITIONAL)
+    assert [(f["func"], f["in_macro"]) for f in u.functions] == [("deep", False), ("glued", True), ("main", False)]
+    assert u.n_errors == 0 and u.undeclared == ["unheard"] and u.unknown_type_nodes == 0
+    assert [(n["kind"], n["callee"]) for n in u.nodes if n["kind"] in ("ForStmt", "CallExpr")] == [("ForStmt", ""), ("CallExpr", ""), ("CallExpr", "unheard"), ("CallExpr", "deep")]
+    assert cparse.parse("#if 1 /* c */\nint a;\n#if 0\n#else\nint b;\n#endif\n#endif\n").names == ["a", "b"]
+    assert cparse.parse("#if (1 << 2) == 4 && !0x0 || BAD(\nint a;\n#endif").names == [] and cparse.parse("#if 1\nint a;").n_errors == 1
+    assert cparse.parse("#define A B\n#define B A\nint A;").names == ["A"]  # not expanded inside itself
+    bomb = "\n".join(f"#define M{i} M{i - 1} M{i - 1}" for i in range(1, 40))
+    assert cparse.parse(f"#define M0 1\n{bomb}\nint x = M39;").n_errors >= 1
+    # a function whose name a macro makes isn't removed, one that isn't declared is a dead call with an int
+    out = stages.run_filter(spark.createDataFrame([("p.c", CONDITIONAL)], files.SOURCES), config.parse("type=Int\nminIfStmt=1")).first().text
+    assert "JOIN(glu, ed)(int v)" in out and "int deep" not in out and "return unheard(3) + __VERIFIER_nondet_int()" in out
+    c = config.parse("")
+    c.keep_compiles_only = False
+    out = stages.run_transform(spark.createDataFrame([("p.c", CONDITIONAL)], files.SOURCES), c).first().text
+    assert "return __VERIFIER__non_det_int() + deep();" in out and "extern int __VERIFIER_nondet_int(void);" in out
+
+
+def test_long_sums_and_many_comments():
+    import time
+
+    began = time.process_time()
+    assert len(cparse.parse("int f(int x) { return " + " + ".join(["x"] * 8000) + "; }").nodes) > 15_000
+    assert cparse.parse("".join(f"/* c{i} */\nint f{i}(int x);\n" for i in range(8000))).functions[-1]["comment_begin"] > 0
+    assert time.process_time() - began < 5
+
+
+def test_repeated_and_null_paths(spark):
+    text = "int f(int a) {\n  return a;\n}\n"
+    rows = spark.createDataFrame([("p.c", text), ("p.c", text), ("q.c", None), (None, text), ("e.c", "")], files.SOURCES)
+    out = stages.run_full(rows, config.parse("minFileLoC = 1"))
+    assert [(r.path, r.text.count("f(__VERIFIER_nondet_int())")) for r in out.collect()] == [("p.c", 1)]
+    assert stages.run_full(rows.limit(0), config.parse("")).count() == 0
+
+
+def test_concrete_stubs():
+    u = cparse.parse(T.stub_definitions())
+    assert u.n_errors == 0 and len([f for f in u.functions if f["func"].startswith(T.NONDET)]) == len(T.STUB_VALUES)
