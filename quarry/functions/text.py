@@ -40,15 +40,20 @@ def loc(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != ""))
 
 
-def header_of(line: Column) -> Column:
-    """The header that a line includes; null if it includes none."""
-    return F.when(line.rlike(INCLUDE), F.regexp_extract(line, INCLUDE, 2))
+def header_of(line: Column, pattern: str = INCLUDE, group: int = 2) -> Column:
+    """The header that a line includes (or what ``group`` of another pattern finds in it); null if it includes none."""
+    return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group))
 
 
-def foreign_headers(text: Column, allowed: list[str] = ALLOWED_HEADERS) -> Column:
+def headers(text: Column, pattern: str = INCLUDE, group: int = 2) -> Column:
+    """The headers that a text's lines include, in order."""
+    found = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: header_of(x, pattern, group))
+    return F.filter(found, lambda h: h.isNotNull())
+
+
+def foreign_headers(text: Column, allowed: list[str] = ALLOWED_HEADERS, pattern: str = INCLUDE, group: int = 2) -> Column:
     """How many lines include a header that isn't allowed."""
-    found = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), header_of)
-    return F.size(F.filter(found, lambda h: h.isNotNull() & ~h.isin(allowed)))
+    return F.size(F.filter(headers(text, pattern, group), lambda h: ~h.isin(allowed)))
 
 
 def strip_name(type_name: Column, is_bool: Column | None = None, is_pointer: Column | None = None) -> Column:

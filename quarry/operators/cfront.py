@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from ..shipping import ship
+from . import counters, select
 
 _PARAMS = "array<struct<name:string,type_str:string,type_kind:string>>"
 FUNCTION = f"func string, ord int, line int, is_def boolean, storage string, ret_type_str string, ret_type_kind string, params {_PARAMS}, name_line_off int, begin int, end int, comment_begin int, comment_end int, in_macro boolean, is_main boolean, body_begin int, body_end int"
@@ -76,7 +77,7 @@ def _typed(config: Config) -> Column:
         return F.when(F.col("type_kind") != "", 1).otherwise(0)
     if not config.types:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(t) for t in config.types]), lambda t: t == F.col("type_kind")))
+    return counters.times_asked(F.col("type_kind"), config.types)
 
 
 def func_attrs(parsed: DataFrame, config: Config) -> DataFrame:
@@ -110,14 +111,14 @@ def func_attrs(parsed: DataFrame, config: Config) -> DataFrame:
         "TypeVariables": once(kind.isin("VarDecl", "ParmVarDecl")),
         "WhileLoops": one(kind == "WhileStmt"),
     }
-    rows = nodes(parsed).select("path", "func", *[c.cast("long").alias(n) for n, c in counted.items()])
+    rows = nodes(parsed).select("path", "func", *[c.alias(n) for n, c in counted.items()])
     zero = [F.lit(0).cast("long").alias(n) for n in counted]
     # what is counted on no node: the number of functions belongs to Program, the rest stays zero
     names = F.array_distinct(F.transform("functions", lambda f: f["func"]))
     seeds = parsed.select("path", F.explode(F.array_union(names, F.array(F.lit("Program")))).alias("func"), F.size(names).alias("n"))
     seeds = seeds.select("path", "func", *zero, F.when(F.col("func") == "Program", F.col("n")).otherwise(0).cast("long").alias("Functions"))
     rows = rows.withColumn("Functions", F.lit(0).cast("long")).unionByName(seeds)
-    out = rows.groupBy("path", "func").agg(*[F.sum(n).alias(n) for n in [*counted, "Functions"]])
+    out = counters.count(rows, ["path", "func"], {n: F.col(n) for n in [*counted, "Functions"]})
     never = F.lit(0).cast("long")
     return out.withColumn("Param", never).withColumn("TypeParameters", never).withColumn("TypeComparisons", never)
 
@@ -131,7 +132,7 @@ def _edit(rows: DataFrame, begin: Column, end: Column, kind: str, text: Column,
 
 def removal_edits(funcs: DataFrame, removed: DataFrame, config: Config) -> DataFrame:
     """Takes out removed functions with their comments. ``removed``: (path, func)."""
-    gone = funcs.where(~F.col("is_main") & ~F.col("in_macro")).join(removed, ["path", "func"], "left_semi")
+    gone = select.matching(funcs.where(~F.col("is_main") & ~F.col("in_macro")), removed, ["path", "func"])
     start = F.col("name_line_off") if config.remove_from_name_line else F.least("name_line_off", "begin")
     end = F.when(F.col("is_def"), F.col("end")).otherwise(F.col("end") + 1)
     bodies = _edit(gone, start, end, "remove", F.lit(""), F.col("ord"))
@@ -152,7 +153,7 @@ def _stripped() -> Column:
 def removed_call_edits(calls: DataFrame, funcs: DataFrame, removed: DataFrame) -> DataFrame:
     """Calls of removed functions, with what replaces them; of nested ones the outermost wins when edits are applied."""
     gone = removed.withColumnRenamed("func", "callee")
-    names = _return_name(funcs, _stripped()).join(gone, ["path", "callee"], "left_semi")
+    names = select.matching(_return_name(funcs, _stripped()), gone, ["path", "callee"])
     hit = calls.join(names, ["path", "callee"])
     return hit.where("stub <> ''").withColumn("replacement", T.nondet_call(F.col("stub")))
 
@@ -162,7 +163,7 @@ def dead_call_edits(calls: DataFrame, funcs: DataFrame, config: Config, parsed:
     all (the call declares them, with an int result), the common library's and the stubs' apart."""
     state = funcs.groupBy("path", F.col("func").alias("callee")).agg(F.bool_or("is_def").alias("defined"), F.bool_or(F.col("storage") == "extern").alias("ext"))
     dead = state.where("not defined and not ext").select("path", "callee")
-    names = _return_name(funcs, _stripped()).join(dead, ["path", "callee"], "left_semi")
+    names = select.matching(_return_name(funcs, _stripped()), dead, ["path", "callee"])
     if parsed is not None:
         called = parsed.select("path", F.explode(F.array_distinct("undeclared")).alias("callee")).where(~F.col("callee").startswith(T.NONDET) & ~F.col("callee").startswith(config.dead_call_prefix))
         int_ = F.lit("int"), F.lit("Int")
@@ -190,7 +191,7 @@ def uncalled(parsed: DataFrame, config: Config) -> DataFrame:
     funcs = functions(parsed).where("not is_main")
     if not config.call_redeclarations:
         funcs = funcs.groupBy("path", "func").agg(F.min_by(F.struct(*[c for c in funcs.columns if c not in ("path", "func")]), "ord").alias("x")).select("path", "func", "x.*")
-    free = funcs.join(refs, ["path", "func"], "left_anti")
+    free = select.missing(funcs, refs, ["path", "func"])
     bad = F.exists("params", lambda p: p["type_kind"].isin("Pointer", "Array"))
     if not config.stop_at_pointer_params:
         return free.where(~bad)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import discard, save
+
 
 def first_by(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The value of each key's first row; pre-aggregated, no sort."""
@@ -12,12 +14,12 @@ def first_by(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFr
 
 
 def take_while(rows: DataFrame, keys: list[str], order: list[str], stop: Column) -> DataFrame:
-    """Rows of each key before the first for which ``stop`` holds."""
-    if len(order) == 1:  # the first stop of a key by a pre-aggregated minimum, no window over its rows
-        at = rows.where(stop).groupBy(*keys).agg(F.min(order[0]).alias("__stop"))
-        return rows.join(at, keys, "left").where(F.col("__stop").isNull() | (F.col(order[0]) < F.col("__stop"))).drop("__stop")
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__stop", F.max(F.when(stop, 1).otherwise(0)).over(w)).where("__stop = 0").drop("__stop")
+    """Rows of each key before the first for which ``stop`` holds; rows that tie with it in the order go too.
+
+    The first stop of a key is a pre-aggregated minimum, so no window runs over a key's rows."""
+    place = F.struct(*order)
+    at = rows.where(stop).groupBy(*keys).agg(F.min(place).alias("__stop"))
+    return rows.join(at, keys, "left").where(F.col("__stop").isNull() | (place < F.col("__stop"))).drop("__stop")
 
 
 def take_while_all(rows: DataFrame, order: list[str], stop: Column) -> DataFrame:
@@ -51,3 +53,21 @@ def directory_rollup(rows: DataFrame, path: Column, **sums: Column) -> DataFrame
     """Sums for each folder over everything below it."""
     spread = rows.select(F.explode(path_prefixes(path)).alias("dir"), *[c.alias(n) for n, c in sums.items()])
     return spread.groupBy("dir").agg(*[F.sum(n).cast("long").alias(n) for n in sums])
+
+
+def enclosing(rows: DataFrame, id_col: str, parent_col: str, match: Column, value: str, name: str, default: str | None = None, rounds: int = 64) -> DataFrame:
+    """(id, name): the value of the nearest row, itself included, up its chain of parents for which ``match`` holds; ``default`` if there is none.
+
+    Chains are halved in each round (a row takes over where its ancestor points), so a tree of depth d takes log d rounds; only rows still
+    on their way are joined. Null ids and parents that don't exist end a chain; a chain that goes in circles is an error."""
+    state = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.when(match, F.lit(None)).otherwise(F.col(parent_col)).alias("up"), F.when(match, F.col(value)).alias("v"))
+    state = save(state, "chains")
+    for _ in range(rounds):
+        if state.where("up is not null").isEmpty():
+            out = state.select(F.col("i").alias(id_col), F.coalesce("v", F.lit(default)).alias(name))
+            return out
+        above = state.select(F.col("i").alias("up"), F.col("up").alias("next"), F.col("v").alias("found"))
+        going = state.where("up is not null").join(above, "up", "left").select("i", F.col("next").alias("up"), F.col("found").alias("v"))
+        before, state = state, save(state.where("up is null").unionByName(going), "chains")
+        discard(before)
+    raise ValueError("chains of parents go in circles")

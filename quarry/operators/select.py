@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,13 +28,27 @@ def passing_files(sources: DataFrame, min_loc: int, max_loc: int, use_nonstd: bo
     return rows if use_nonstd else rows.where("nonstd_includes = 0")
 
 
+def distinct_values(rows: DataFrame, key: str, values: Column, name: str) -> DataFrame:
+    """(key, name): the different values of an array column in each row, without a shuffle; null values are left out."""
+    return rows.select(key, F.explode(F.array_distinct(F.filter(values, lambda v: v.isNotNull()))).alias(name))
+
+
 def standard_headers(sources: DataFrame) -> DataFrame:
     """(path, header): standard headers a file includes, each once."""
-    found = sources.select("path", F.explode(F.transform(F.split("text", "\n"), T.header_of)).alias("header"))
-    return found.where(F.col("header").isin(T.STANDARD_HEADERS)).dropDuplicates(["path", "header"])
+    return distinct_values(sources, "path", T.headers(F.col("text")), "header").where(F.col("header").isin(T.STANDARD_HEADERS))
 
 
 def header_basenames(sources: DataFrame) -> DataFrame:
     """(path, header): the file names of all headers a file includes, each once, standard or not."""
-    found = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.element_at(F.split(T.header_of(x), "/"), -1))
-    return sources.select("path", F.explode(F.array_distinct(F.filter(found, lambda h: h.isNotNull()))).alias("header"))
+    names = F.transform(T.headers(F.col("text")), lambda h: F.element_at(F.split(h, "/"), -1))
+    return distinct_values(sources, "path", names, "header")
+
+
+def matching(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys occur in ``others``: what is removed, what is called."""
+    return rows.join(others.select(*keys), keys, "left_semi")
+
+
+def missing(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys don't occur in ``others``: what is kept, what isn't called, what isn't declared."""
+    return rows.join(others.select(*keys), keys, "left_anti")

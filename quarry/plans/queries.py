@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import positional, rules, select
+from ..operators import counters, positional, rules, select
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,28 +49,22 @@ _LICENSE = r"(?i)\b((?:MIT|Apache|BSD|GNU|Creative Commons|Mozilla)[A-Za-z ]*?(?
                   sum(CASE WHEN name IS NOT NULL AND name NOT IN ('MIT License', 'Apache License') THEN 1 ELSE 0 END) = 0 AS passes
            FROM h GROUP BY doc_id HAVING count(name) > 0""")
 def line_allowlist_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    name = lambda x: F.when(x.rlike(_LICENSE), F.regexp_extract(x, _LICENSE, 1))
-    names = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), name), lambda n: n.isNotNull())
-    rows = docs.select("doc_id", names.alias("names")).where(F.size("names") > 0)
-    bad = F.size(F.filter("names", lambda n: ~n.isin("MIT License", "Apache License"))).cast("long")
-    return rows.select("doc_id", F.size("names").cast("long").alias("mentions"), bad.alias("bad"), (bad == 0).alias("passes"))
+    docs, text = _table(spark, sf_dir, "documents"), F.col("text")
+    found = docs.select("doc_id", F.size(T.headers(text, _LICENSE, 1)).cast("long").alias("mentions"), T.foreign_headers(text, ["MIT License", "Apache License"], _LICENSE, 1).cast("long").alias("bad"))
+    return found.where("mentions > 0").withColumn("passes", F.col("bad") == 0)
 
 
 @query(r"""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages)
            SELECT page_id, target, target IN ('the', 'of', 'and', 'de', 'la', 'die', 'der') AS allowed FROM l""")
 def header_regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    # a page's targets are made distinct inside its row: no shuffle
-    found = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))).alias("target"))
+    found = select.distinct_values(_table(spark, sf_dir, "pages"), "page_id", F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), "target")
     return found.withColumn("allowed", F.col("target").isin("the", "of", "and", "de", "la", "die", "der"))
 
 
-@query("""SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_brand = 'Brand#2' AND p_size >= 10 AND p_retailprice >= 920 ORDER BY p_partkey LIMIT 16""")
+@query("""SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_brand = 'Brand#2' AND p_size >= 10 AND floor(p_retailprice) >= 920 ORDER BY p_partkey LIMIT 16""")
 def catalog_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part").where(F.col("p_retailprice") >= 920)
-    catalog = part.withColumnsRenamed({"p_brand": "language", "p_size": "size"}).withColumn("stars", F.lit(1))
-    return select.select_repos(catalog, "Brand#2", 10, 1, 15, order_col="p_partkey").select("p_partkey", "p_name", F.col("size").alias("p_size"), "p_retailprice")
+    catalog = _table(spark, sf_dir, "part").withColumnsRenamed({"p_brand": "language", "p_size": "size"}).withColumn("stars", F.floor("p_retailprice"))
+    return select.select_repos(catalog, "Brand#2", 10, 920, 15, order_col="p_partkey").select("p_partkey", "p_name", F.col("size").alias("p_size"), "p_retailprice")
 
 
 # --- counters and thresholds
@@ -80,7 +74,7 @@ _COUNTS_SQL = "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in _KINDS])
+    return counters.count(_table(spark, sf_dir, "events"), ["user_id"], {f"n_{k}": F.col("event_type") == k for k in _KINDS})
 
 
 @query(_COUNTS_SQL)
@@ -91,14 +85,13 @@ def attr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, sum(CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::BIGINT AS typed, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END)::BIGINT AS typed_once FROM events GROUP BY user_id""")
 def attr_counts_typed_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over a bag of types: a type that is asked for twice counts twice."""
-    bag = F.array(*[F.lit(x) for x in ("view", "view", "click")])
-    n = F.size(F.filter(bag, lambda t: t == F.col("event_type")))
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(n).cast("long").alias("typed"), F.count_if(n > 0).alias("typed_once"))
+    n = counters.times_asked(F.col("event_type"), ["view", "view", "click"])
+    return counters.count(_table(spark, sf_dir, "events"), ["user_id"], {"typed": n, "typed_once": n > 0})
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_orderkey")
 def distinct_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("n_parts"))
+    return counters.distinct_members(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey", "n_parts")
 
 
 _RULES = [rules.Rule(f"max_{k}", f"n_{k}", 20, True) for k in ("click", "view", "error")] + [rules.Rule(f"min_{k}", f"n_{k}", 8, False) for k in ("click", "view", "error")]
@@ -126,13 +119,13 @@ def _in_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def remove_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return orders.join(_in_debt(spark, sf_dir), "o_custkey", "left_semi")
+    return select.matching(orders, _in_debt(spark, sf_dir), ["o_custkey"])
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def keep_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return orders.join(_in_debt(spark, sf_dir), "o_custkey", "left_anti")
+    return select.missing(orders, _in_debt(spark, sf_dir), ["o_custkey"])
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, '__VERIFIER_nondet_' || regexp_replace(p_name, '[ _*]', '', 'g') || '()' AS call_text
@@ -170,19 +163,19 @@ def needed_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3')""")
 def missing_stubs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = spark.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "name string")
-    return _table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct().join(F.broadcast(declared), "name", "left_anti")
+    return select.missing(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct(), declared, ["name"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def dead_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, "o_orderkey", "left_anti")
+    return select.missing(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), items, ["o_orderkey"])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def uncalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = _table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(large, "c_custkey", "left_anti")
+    return select.missing(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), large, ["c_custkey"])
 
 
 # --- positional operators over conversations and events
@@ -190,7 +183,7 @@ def uncalled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, bool_or(role = 'system') AS has_main FROM conversations GROUP BY conv_id")
 def has_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("has_main"))
+    return counters.any_of(_table(spark, sf_dir, "conversations"), ["conv_id"], F.col("role") == "system", "has_main")
 
 
 @query("SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -231,7 +224,19 @@ _PARENTS = f"""WITH RECURSIVE tree AS (SELECT * FROM {_TREE}),
 
 @query(_PARENTS)
 def parent_func(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_PARENTS)
+    rows = [(1, None, "file", "a.c"), (2, 1, "function", "main"), (3, 2, "if", ""), (4, 3, "call", "f"), (5, 1, "var", "g"), (6, 1, "function", "f"), (7, 6, "return", ""), (8, 7, "ref", "g")]
+    tree = spark.createDataFrame(rows, "id long, parent long, kind string, name string")
+    return positional.enclosing(tree, "id", "parent", F.col("kind") == "function", "name", "func", "Program")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, p_size = 1 OR p_partkey = 1 AS hit, p_brand FROM part),
+           up(id, above, brand) AS (SELECT id, parent, CASE WHEN hit THEN p_brand END FROM p
+             UNION ALL SELECT up.id, p.parent, CASE WHEN p.hit THEN p.p_brand END FROM up JOIN p ON up.above = p.id WHERE up.brand IS NULL)
+           SELECT id AS p_partkey, coalesce(max(brand), 'none') AS brand FROM up GROUP BY id""")
+def nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a whole table, a heap of parts."""
+    part = _table(spark, sf_dir, "part").withColumn("parent", F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)))
+    return positional.enclosing(part, "p_partkey", "parent", (F.col("p_size") == 1) | (F.col("p_partkey") == 1), "p_brand", "brand", "none")
 
 
 _URL = r"^[a-z]+://[^/]*([^?#]*).*$"
@@ -244,10 +249,11 @@ def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.directory_rollup(_table(spark, sf_dir, "pages"), F.regexp_replace("url", _URL, "$1"), n=F.lit(1))
 
 
-@query("""SELECT toxic, count(*) AS attempted, count(*) FILTER (WHERE quality = 1) AS succeeded, count(*) FILTER (WHERE quality = 1 OR toxic = 1) AS kept FROM labels GROUP BY toxic""")
+@query("""SELECT toxic, count(*) AS attempted, count(*) FILTER (WHERE quality = 1) AS succeeded FROM labels GROUP BY toxic""")
 def compile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("quality") == 1
-    return _table(spark, sf_dir, "labels").groupBy("toxic").agg(F.count("*").alias("attempted"), F.count_if(ok).alias("succeeded"), F.count_if(ok | (F.col("toxic") == 1)).alias("kept"))
+    from .stages import summary
+
+    return summary(_table(spark, sf_dir, "labels").withColumn("compiles", F.col("quality") == 1), "toxic")
 
 
 _CONFIG = ["maxIfStmt = 12abc", "useNonStdHeaders=false", "filterDir=filtered-files", "# type = Int", "type=Int string Bool", "minCallFunc = 3", "[Section]", "databaseDir=data/in", "debug = true", "x=-1"]

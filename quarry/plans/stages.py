@@ -98,9 +98,9 @@ def run_full(sources: DataFrame, config: Config) -> DataFrame:
     return run_transform(run_filter(sources, config), config)
 
 
-def summary(outputs: DataFrame) -> DataFrame:
-    """attempted, succeeded."""
-    return outputs.agg(F.count("*").alias("attempted"), F.count_if("compiles").alias("succeeded"))
+def summary(outputs: DataFrame, *keys: str) -> DataFrame:
+    """attempted, succeeded; of all outputs or by key."""
+    return outputs.groupBy(*keys).agg(F.count("*").alias("attempted"), F.count_if("compiles").alias("succeeded"))
 
 
 def summary_by_directory(outputs: DataFrame) -> DataFrame:
