@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -282,6 +283,17 @@ def _snippets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(FILES.items()), "path string, text string")
 
 
+def _more(spark: SparkSession) -> DataFrame:
+    from .snippets import MORE
+
+    return spark.createDataFrame(sorted(MORE.items()), "path string, text string")
+
+
+def _text(sql_values: dict[str, str]) -> str:
+    """SQL rows (path, text)."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{path}', '{text.replace(chr(39), chr(39) * 2)}')" for path, text in sorted(sql_values.items())) + ") AS t(path, text)"
+
+
 def _stage(spark: SparkSession) -> tuple:
     from ..config import parse
     from . import snippets, stages
@@ -362,11 +374,28 @@ int main(void) {
 """
 
 
-@query(f"SELECT 'a/keep.c' AS path, '{_FILTERED}' AS text, 'filteredFiles/a/keep.c' AS out_path")
+_FILTERED2 = """#include <stdlib.h>
+
+int twice(int x) {
+  if (x - 1) {
+    return x + x;
+  }
+  return 0;
+}
+
+
+
+
+"""
+
+
+@query(f"SELECT *, 'filteredFiles/' || path AS out_path FROM ({_text({'a/keep.c': _FILTERED, 'a/nomain.c': _FILTERED2})})")
 def c_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter's output: functions removed, their calls replaced, stubs declared."""
-    stages, config, _ = _stage(spark)
-    return stages.run_filter(_snippets(spark).where("path = 'a/keep.c'"), config)
+    """The filter's output: functions removed, their calls replaced, stubs declared; files that don't pass are left out."""
+    from ..config import parse
+    from . import snippets, stages
+
+    return stages.run_filter(_snippets(spark), parse(snippets.CONFIG))
 
 
 _SYNTH = """#include <stdlib.h>
@@ -400,11 +429,52 @@ int main(void) {
 _SYNTH = _SYNTH.replace("extern float", "extern _Bool __VERIFIER_nondet_bool(void);\nextern float")
 
 
-@query(f"SELECT 'a/nomain.c' AS path, '{_SYNTH}' AS text, 'benchmarks/a/nomain.c' AS out_path, true AS compiles")
+_SYNTH2 = """#include <stdio.h>
+#include <stdbool.h>
+
+int limit = 3;
+
+extern int outside(int which);
+
+/* too simple to keep */
+bool flag(void) {
+  return true;
+}
+
+char *label(void) { return "x"; }
+
+int count(int a, unsigned char b) {
+  int n = 0;
+  if (a + n > limit) {
+    n++;
+  }
+  for (int i = 0; i < a; i++) {
+    n += -i;
+  }
+  return n;
+}
+
+int main(void) {
+  if (flag()) {
+    printf("%s", label());
+  }
+  return count(outside(2), 1) - 1;
+}
+"""
+_SYNTH4 = """int one;
+
+int main(void) {
+    return 0;
+}
+"""
+_ALL_SYNTH = {"a/keep.c": _SYNTH2, "a/nomain.c": _SYNTH, "b/foreign.c": "#include <unistd.h>\nint main(void) {\n  return 0;\n}\n", "b/short.c": _SYNTH4}
+
+
+@query(f"SELECT *, 'benchmarks/' || path AS out_path, true AS compiles FROM ({_text(_ALL_SYNTH)})")
 def c_main_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transform's output: main calls what nothing else does, up to the first function with a pointer parameter."""
     stages, config, _ = _stage(spark)
-    return stages.run_transform(_snippets(spark).where("path = 'a/nomain.c'"), config)
+    return stages.run_transform(_snippets(spark), config)
 
 
 @query("SELECT * FROM (VALUES ('a', 2, 2), ('a/keep.c', 1, 1), ('a/nomain.c', 1, 1)) AS t(dir, attempted, succeeded)")
@@ -417,3 +487,138 @@ def c_full_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     config.keep_compiles_only = False
     out = stages.summary_by_directory(stages.run_full(_snippets(spark), config))
     return out.select("dir", F.col("attempted").cast("int").alias("attempted"), F.col("succeeded").cast("int").alias("succeeded"))
+
+
+@query("SELECT * FROM (VALUES ('c/dead.c', 'stdbool.h', true), ('c/macros.c', 'stdio.h', true), ('c/macros.c', 'types.h', false), ('c/macros.c', 'util.h', false)) AS t(path, header, standard)")
+def c_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header names a file includes, each once, and whether the include listener counts them among the standard ones."""
+    found, standard = select.header_basenames(_more(spark)), select.standard_headers(_more(spark)).withColumn("standard", F.lit(True))
+    return found.join(standard, ["path", "header"], "left").select("path", "header", F.coalesce("standard", F.lit(False)).alias("standard"))
+
+
+@query("SELECT * FROM (VALUES ('c/macros.c', 'made_one', true, 1), ('c/macros.c', 'plain', false, 0)) AS t(path, func, in_macro, for_loops)")
+def c_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditionals decide which functions there are; macros make names and loops."""
+    from ..config import parse
+    from ..operators import cfront
+
+    parsed = cfront.parse_sources(_more(spark).where("path = 'c/macros.c'"))
+    loops = cfront.func_attrs(parsed, parse("type=Int")).select("path", "func", F.col("ForLoops").cast("int").alias("for_loops"))
+    return cfront.functions(parsed).select("path", "func", "in_macro").join(loops, ["path", "func"])
+
+
+_NO_PLAIN = """#include <stdio.h>
+#include <sys/types.h>
+#include "own/util.h"
+#include <stdio.h>
+#define SIZE 4
+#define EACH(i, n) for (int i = 0; i < (n); i++)
+#define NAMED(x) made_##x
+#if SIZE > 2
+int NAMED(one)(int v) {
+  EACH(k, SIZE) {
+    v = v + k;
+  }
+  return v;
+}
+#else
+int never(void) { return 0; }
+#endif
+
+"""
+
+
+@query(_text({"c/macros.c": _NO_PLAIN}))
+def c_macro_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both functions fail, the one whose name a macro makes stays."""
+    from ..config import parse
+    from . import stages
+
+    return stages.run_filter(_more(spark).where("path = 'c/macros.c'"), parse("type=Int\nminIfStmt=1\nuseNonStdHeaders=true")).select("path", "text")
+
+
+_DEAD = """#include <stdbool.h>
+extern unsigned int __VERIFIER_nondet_unsigned_int(void);
+extern int __VERIFIER_nondet_int(void);
+extern _Bool __VERIFIER_nondet_bool(void);
+bool known(int);
+extern int outside(int);
+unsigned int wide(void);
+struct pair { int a; };
+struct pair both(void);
+int main(void) {
+  if (__VERIFIER__non_det_bool()) {
+    return __VERIFIER__non_det_int() + outside(3);
+  }
+  __VERIFIER__non_det_structpair();
+  return __VERIFIER__non_det_unsignedint() + 1;
+}
+"""
+_HASMAIN = """extern int __VERIFIER_nondet_int(void);
+int spare(int a, int b) {
+  return a + b;
+}
+int used(void) {
+  return __VERIFIER_nondet_int();
+}
+int main(void) {
+{
+  return used();
+}
+    spare(__VERIFIER_nondet_int(), __VERIFIER_nondet_int());
+}
+"""
+
+
+@query(_text({"c/dead.c": _DEAD, "c/hasmain.c": _HASMAIN}))
+def c_dead_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of functions that are declared without a definition, or not at all, get dead-call texts, and stubs for types that can have one;
+    a main that is there gets the calls behind its body; a stub that the file declares isn't declared again."""
+    from ..config import parse
+    from . import stages
+
+    config = parse("")
+    config.keep_compiles_only = False
+    return stages.run_transform(_more(spark).where("path <> 'c/macros.c'"), config).select("path", "text")
+
+
+@query("""SELECT * FROM (VALUES ('char', chr(39) || 'a' || chr(39)), ('double', '5.5'), ('float', '5.5'), ('int', '5'), ('long', '5'), ('longlong', '5'), ('short', '5'), ('uint', '5'), ('bool', 'false'), ('pointer', '(void*)(5)'), ('other', NULL)) AS t(stub, value)""")
+def c_stub_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concrete stubs' values, looked up by name."""
+    names = spark.createDataFrame([(n,) for n, _, _ in T.STUB_VALUES] + [("other",)], "stub string")
+    return names.select("stub", T.stub_values(F.col("stub")).alias("value"))
+
+
+@query("SELECT * FROM (VALUES (1, 'databaseDir'), (2, 'debug'), (3, 'maxIfStmt'), (4, 'minCallFunc'), (5, 'type'), (6, 'useNonStdHeaders')) AS t(place, key)")
+def config_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings in the order of their keys."""
+    from ..config import ordered, parse_lines
+
+    keys = ordered(parse_lines(spark.createDataFrame([(x,) for x in _CONFIG], "line string"))).toPandas()["key"]
+    return spark.createDataFrame([(i + 1, k) for i, k in enumerate(keys)], "place int, key string")
+
+
+@query("""SELECT p_partkey, p_brand, p_size, p_name FROM part WHERE p_brand = 'Brand#3' AND p_size >= 2 AND floor(p_retailprice) >= 901 ORDER BY p_partkey LIMIT 8""")
+def catalog_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue written and read as CSV, and the first repositories of it that qualify."""
+    from ..sources.files import read_catalog
+    from ..storage import scratch_dir
+
+    path = f"{scratch_dir(spark)}/quarry-catalogue-{uuid.uuid4().hex}"
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("repository"), F.col("p_brand").alias("language"), F.col("p_size").alias("size"), F.floor("p_retailprice").alias("stars"), "p_name")
+    part.orderBy(F.col("repository").cast("long")).coalesce(1).write.option("header", True).csv(path)
+    found = select.select_repos(read_catalog(spark, path), "Brand#3", 2, 901, 7)
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return found.select(F.col("repository").cast("long").alias("p_partkey"), F.col("language").alias("p_brand"), F.col("size").alias("p_size")).join(part, "p_partkey")
+
+
+@query("SELECT * FROM (VALUES ('tree/a/keep.c', 25, 0), ('tree/a/nomain.c', 17, 0), ('tree/b/foreign.c', 4, 1), ('tree/b/short.c', 1, 0)) AS t(path, loc, foreign_headers)")
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written as a tree, found again by a recursive scan."""
+    from ..sources import files, sinks
+    from ..storage import scratch_dir
+
+    root = f"{scratch_dir(spark)}/quarry-files-{uuid.uuid4().hex}/tree"
+    sinks.write_tree(_snippets(spark), root)
+    rows = select.file_stats(files.read_sources(spark, root))
+    return rows.select("path", F.col("loc").cast("int").alias("loc"), F.col("nonstd_includes").cast("int").alias("foreign_headers"))
