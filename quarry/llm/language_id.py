@@ -34,7 +34,7 @@ from . import common
 from .toxicity import held_out
 
 MAX_DOCS, PER_DOC, MAX_STRETCHES, STRETCH = 400, 32, 12_000, 48
-WINDOW, CONTEXT, STEP, HIDDEN = 256, 32, 32, 12
+WINDOW, CONTEXT, STEP, HIDDEN = 512, 32, 64, 12
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters: ASCII ones, and all of longer code points.
 _LETTERS = np.zeros(256, bool)
@@ -95,31 +95,38 @@ class Network:
     def _states(self, x: np.ndarray, d: str) -> np.ndarray:
         """The states of _run alone, in place."""
         h, table, u, v = HIDDEN, self.params[f"x{d}"], self.params[f"u{d}"][:, : 2 * HIDDEN].copy(), self.params[f"u{d}"][:, 2 * HIDDEN :].copy()
-        state, states = np.zeros((x.shape[1], h), np.float32), np.empty((*x.shape, h), np.float32)
+        n = x.shape[1]
+        state, states = np.zeros((n, h), np.float32), np.empty((*x.shape, h), np.float32)
+        a, zr = np.empty((n, 3 * h), np.float32), np.empty((n, 2 * h), np.float32)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            a = table[x[t]]
-            zr = state @ u
+            table.take(x[t], 0, out=a, mode="clip")
+            np.matmul(state, u, out=zr)
             zr += a[:, : 2 * h]
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            c = (zr[:, h:] * state) @ v
-            c += a[:, 2 * h :]
-            np.tanh(c, out=c)
-            c -= state
-            c *= zr[:, :h]
-            c += state
-            state = states[t] = c
+            new = states[t]
+            np.matmul(zr[:, h:] * state, v, out=new)
+            new += a[:, 2 * h :]
+            np.tanh(new, out=new)
+            new -= state
+            new *= zr[:, :h]
+            new += state
+            state = new
         return states
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (T, n, languages) of every position of bytes (T, n)."""
-        y = self._states(x, "f") @ self.params["o"][:HIDDEN] + self._states(x, "b") @ self.params["o"][HIDDEN:] + self.params["c"]
-        y -= y.max(2, keepdims=True)
+    def positions(self, x: np.ndarray, edge: int = 0) -> np.ndarray:
+        """Probabilities (languages, T, n) of the positions of bytes (T, n), without ``edge`` of them at either end."""
+        x = x.astype(np.intp)
+        inner = slice(edge, len(x) - edge)
+        y = self.params["c"][:, None].astype(np.float32)
+        for d, part in (("f", self.params["o"][:HIDDEN]), ("b", self.params["o"][HIDDEN:])):
+            y = y + part.T @ self._states(x, d)[inner].reshape(-1, HIDDEN).T
+        y -= y.max(0)
         np.exp(y, out=y)
-        y /= y.sum(2, keepdims=True)
-        return y
+        y /= y.sum(0)
+        return y.reshape(len(y), -1, x.shape[1])
 
     def gradients(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
@@ -192,7 +199,7 @@ def fit(stretches: list[bytes], labels: list[str], epochs: int = 8, batch: int =
 class Reader:
     """Labels documents, some hundred windows at a time."""
 
-    def __init__(self, net: Network | None, most: int = 512) -> None:
+    def __init__(self, net: Network | None, most: int = 1024) -> None:
         self.net, self.most = net, most
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -220,9 +227,8 @@ class Reader:
 
     def _read(self, found: list[tuple[int, np.ndarray]], sums: np.ndarray, sizes: np.ndarray) -> None:
         x = np.stack([w for _, w in found]).T
-        inner = slice(CONTEXT, len(x) - CONTEXT)
-        letters = _LETTERS[x[inner]]
-        p = np.einsum("tnk,tn->nk", self.net.positions(x)[inner], letters, dtype=np.float64)
+        letters = _LETTERS[x[CONTEXT : len(x) - CONTEXT]]
+        p = (self.net.positions(x, CONTEXT) * letters).sum(1, dtype=np.float64).T
         owner = [i for i, _ in found]
         np.add.at(sums, owner, p)
         np.add.at(sizes, owner, letters.sum(0))
