@@ -51,7 +51,7 @@ BINS = 256
 #: Bits of the bitmap that tells tasks which sets are wanted.
 FILTER_BITS = 25
 #: Members of a block of a group; rows of one key from which it is dealt by class too; partners of a hub that share a copy of its set.
-BLOCK, HOT, PARTNERS = 1024, 100_000, 4096
+BLOCK, HOT, PARTNERS = 1024, 100_000, 256
 _NEVER = 1 << 40
 _SLICE = 1 << 20
 
