@@ -97,7 +97,9 @@ def near_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text
     earlier = F.when(F.col("role") == 2, F.col("whole")).otherwise(F.col("part"))
     near = met.select("h", "place", earlier.alias("e")).where("e.place < place").groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.place").alias("near"), F.col("e.h").alias("eh"))
     a, b = may.select("h", F.col("norm").alias("a")), may.select(F.col("h").alias("eh"), F.col("norm").alias("b"))
-    checked = near.join(a, "h").join(b, "eh").where(within_one(F.split("a", " "), F.split("b", " "))).select("h", "near")
+    # both lines are split once a pair: bound to a variable, not to an expression that each word would evaluate again
+    pair = F.array(F.struct(F.split("a", " ").alias("a"), F.split("b", " ").alias("b")))
+    checked = near.join(a, "h").join(b, "eh").where(F.transform(pair, lambda x: within_one(x["a"], x["b"]))[0]).select("h", "near")
 
     # Decisions by line hash, then the places that fall under them.
     verdict = checked.join(equal, "h", "full_outer").join(may.select("h", F.col("place").alias("own1")), "h", "left")
