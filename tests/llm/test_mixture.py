@@ -59,3 +59,45 @@ def test_mix_of_nothing(spark):
     assert mixture.mix(spark.createDataFrame([], DOCS)).count() == 0
     out = mixture.mix(spark.createDataFrame([(1, None, None, "", "", "")], DOCS)).collect()
     assert [(r.size, r.taken, r.target) for r in out] == [(0, 0, 0.0)]
+
+
+def brute_mix(rows, shard_words, block=16, epochs=2):
+    """Takes by hand: rows (key of source, draw, doc_id, place, size, shard), quotas by seats one after the other, then passes over the stream of a shard."""
+    sizes = defaultdict(int)
+    for key, *_, size, _ in rows:
+        sizes[key] += size
+    keys = sorted(sizes)
+    goal = mixture.targets([sizes[k] for k in keys], [(5, 2, 1)[i % 3] for i in range(len(keys))], Fraction(3, 2), epochs)
+    shard_size = defaultdict(int)
+    for key, *_, size, shard in rows:
+        shard_size[key, shard] += size
+    caps = [sum(epochs * -(-w // block) for (k, _), w in shard_size.items() if k == key) for key in keys]
+    seats = brute_seats([float(g) for g in goal], round(sum(goal) / block), caps)
+    seats = [c if g == epochs * sizes[k] else s for k, g, s, c in zip(keys, goal, seats, caps)]
+    taken = {}
+    for key, n in zip(keys, seats):
+        shards = sorted(s for k, s in shard_size if k == key)
+        words = [shard_size[key, s] for s in shards]
+        for shard, got, total in zip(shards, brute_seats([float(w) for w in words], n, [epochs * -(-w // block) for w in words]), words):
+            left = min(got * block, epochs * total)
+            stream = sorted((r[1:5] for r in rows if r[0] == key and r[5] == shard), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
+            while left > 0:
+                for draw, _, place, size in stream:
+                    taken[place] = taken.get(place, 0) + min(left, size)
+                    left -= min(left, size)
+    return taken
+
+
+def test_taken_words_equal_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    given, docs = rows(spark, 5)
+    docs = docs.coalesce(1)
+    placed = docs.select("doc_id", "source", F.xxhash64("doc_id", F.lit(7)).alias("draw"), F.monotonically_increasing_id().alias("place"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "")).alias("size")).collect()
+    total = defaultdict(int)
+    for r in placed:
+        total[r.source] += r.size
+    listed = [("1" if r.source is None else f"0{r.source}", r.draw, r.doc_id, r.place, r.size, r.draw % max(1, -(-total[r.source] // 3000))) for r in placed]
+    want = brute_mix(listed, 3000)
+    got = sorted((repr(r.doc_id), r.size, r.taken) for r in mixture.mix(docs, shard_words=3000).collect())
+    assert got == sorted((repr(r.doc_id), r.size, want.get(r.place, 0)) for r in placed) and sum(want.values()) > 1000

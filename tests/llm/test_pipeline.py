@@ -53,3 +53,39 @@ def test_decontamination_by_row(spark, data):
     out = corpus_pipeline.drop_contaminated(spark, docs, data)
     assert out.columns == docs.columns
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, "clean text"), (None, "clean too"), (2, None), (4, "clean text")]))
+
+
+def test_run_equals_brute_force(spark, data):
+    """All stages end to end, each by hand but for the classifier's scores, the mix's takes and the canonical words."""
+    from test_dedup import brute
+    from test_text import brute_contaminated
+
+    from pyspark.sql import functions as F
+
+    from quarry.llm import mixture
+
+    table = common.table(spark, data, "documents")
+    model = toxicity.train(table, common.table(spark, data, "labels"))
+    score = model.scorer()
+    docs = [r for r in table.collect() if score(r.text) < 0.5]
+    first = {}
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        first.setdefault(norm(r.text), r.doc_id)
+    docs = [r for r in docs if first[norm(r.text)] == r.doc_id]
+    groups = brute([(r.doc_id, r.text) for r in docs])
+    docs = [r for r in docs if groups[r.doc_id][1] == r.doc_id]
+    left = spark.createDataFrame(docs, table.schema)
+    words = lambda df, i: {r[0]: r[1].split() for r in df.select(i, decontaminate.canonical(F.col("text"))).collect() if r[1]}
+    found = {i for i, _ in brute_contaminated(words(left, "doc_id"), words(common.table(spark, data, "benchmark"), "item_id"))}
+    left = spark.createDataFrame([r for r in docs if r.doc_id not in found], table.schema)
+    want = {(r.doc_id, r.taken) for r in mixture.mix(left).collect() if r.taken > 0}
+    assert {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, data).collect()} == want and want
+
+
+def test_stages_with_ties_repeats_and_clashing_columns(spark, data):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "a"), (1, text, "a"), (2, text + " more", "b"), (3, " ".join(f"w{i}" for i in range(30_000)), "c"), (4, None, "d"), (5, "", "e")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, k, k, k) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, __key string, component_id string, digest string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.save(stage(spark, docs.drop("__key"), data), "test")
+        assert out.columns == docs.drop("__key").columns and out.where("doc_id = 3").count() == 1
