@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's ``docs``.
 All but the last return the columns of ``docs``. The decontamination stage goes by the text's SHA-256, not by
 doc_id. The near-duplicate stage goes by doc_id: it keeps rows with a null id, and where a doc_id repeats, all its rows go with one that is a near copy.
+
+Defined results: null and empty texts count as empty: they aren't toxic unless a text without features is, one of them stays, they match no
+other text and no benchmark item, and the mix takes nothing of them. Of equal texts the smallest doc_id stays (a null one sorts last; of
+rows that repeat doc_id and text one), of linked ones the smallest doc_id of their component. Empty tables give no rows. Further columns stay as they are
+until the last stage; names that begin with ``__`` are the stages' own.
 """
 
 from __future__ import annotations
