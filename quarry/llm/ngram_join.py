@@ -511,14 +511,20 @@ def _verify(docs: DataFrame, pairs: DataFrame, seed: int, tag: str) -> DataFrame
     """The linked ones of different pairs (a, b) of classes."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
     sets = docs.select("text").mapInArrow(lambda it: _sets(it, seed, shared.value), "c long, s binary").groupBy("c").agg(F.first("s").alias("s"))
-    # The hub's set goes once to each of its salts, every partner's set to its hub.
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
-    routes = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    # Of a pair, the class with more partners is the hub, if it has many. The hub's set goes once to each of its salts, every partner's set to its hub.
+    busy = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("k")).where(F.col("k") > PARTNERS)
+    busy = common.save(busy, "busy")
+    few = common.maybe_broadcast(busy, busy.count(), 32)
+    routes = pairs.join(few.toDF("a", "ka"), "a", "left").join(few.toDF("b", "kb"), "b", "left")
+    ka, kb = F.coalesce("ka", F.lit(1)), F.coalesce("kb", F.lit(1))
+    routes = routes.select(F.when(kb > ka, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(kb > ka, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest(ka, kb) / PARTNERS).alias("salts"))
+    routes = routes.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     routes = routes.unionByName(routes.select("a", F.col("a").alias("b"), "salt").distinct())
     rows = routes.join(sets, routes["b"] == sets["c"]).select("a", "b", "s", "salt")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", (F.col("a") != F.col("b")))
     out = common.save(rows.select("a", "b", "s").mapInArrow(_compare, "a long, b long").distinct(), tag)
     shared.destroy()
+    common.discard(busy)
     return out
 
 
